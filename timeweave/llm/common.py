@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeweave.llm.textbatch import count_words
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir of the session.
@@ -32,6 +36,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Removes the files of a table from `written` that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name close to `name` that df doesn't have (names are compared as Spark does, without case)."""
     taken = {c.lower() for c in df.columns}
@@ -49,16 +61,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Characters that end a word, in Spark, DuckDB and numpy alike.
-SPACE = r"[ \t\n\r\f\x0B]+"
+def with_words(df: DataFrame, key: str, kind: str) -> DataFrame:
+    """key (cast to kind) and n, the number of whitespace-separated words of text (0 if null), for each row of df.
 
+    Counted on the byte buffers of Arrow batches: a few nanoseconds a byte, where a regular expression takes many.
+    """
 
-def n_words(text: str = "text"):
-    """Whitespace-separated words of a text; 0 for null or empty ones."""
-    trimmed = F.regexp_replace(F.col(text), SPACE, " ")
-    trimmed = F.trim(trimmed)
-    return F.coalesce(F.when(trimmed == "", 0).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1), F.lit(0)).cast("long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count_words(batch.column(1)))], [key, "n"])
 
+    return small_batches(df).select(F.col(key).cast(kind).alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, n long")
 
-#: The same in DuckDB.
-N_WORDS_SQL = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), w -> w <> ''))::BIGINT"
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; in its session, Arrow batches hold 2,000 rows unless another number is set, as rows with whole texts are large."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return df
+
+
+#: Characters that end a word, here and in DuckDB.
+SPACE = r"[ \t\n\r\f\x0B]+"
+#: A text's words in DuckDB.
+N_WORDS_SQL = r"len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\r\f\x0B]+'), lambda w: w <> ''))::BIGINT"

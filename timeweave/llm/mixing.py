@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import N_WORDS_SQL, fresh, n_words, written
+from timeweave.llm.common import N_WORDS_SQL, fresh, with_words, written
 
 #: A table of rates is broadcast up to so many sources; beyond, documents and rates are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
@@ -25,7 +25,8 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None = None, to
     """
     if weights is not None and any(w < 0 for w in weights.values()):
         raise ValueError("weights must not be negative")
-    per = docs.select(F.col("source").alias("source"), (n_words() if tokens is None else tokens).alias("n")).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
+    counted = with_words(docs, "source", "string") if tokens is None else docs.select(F.col("source").cast("string").alias("source"), tokens.alias("n"))
+    per = counted.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n").alias("n_tokens"))
     if weights is None:
         weight = F.lit(1.0)
     else:
@@ -58,7 +59,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, seed: str =
     if rates.count() <= BROADCAST_SOURCES:
         rates = F.broadcast(rates)
     times = F.floor(F.col(rate)) + (draw("doc_id", seed) < F.col(rate) - F.floor(F.col(rate))).cast("long")
-    joined = docs.join(rates, docs["source"].eqNullSafe(F.col(src)), "left")
+    joined = docs.join(rates, docs["source"].cast("string").eqNullSafe(F.col(src)), "left")
     out = joined.withColumn(k, F.explode(F.when(times > 0, F.sequence(F.lit(0).cast("long"), times - 1)).otherwise(F.array().cast("array<bigint>"))))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns), *([F.col(k)] if copy else []))
 

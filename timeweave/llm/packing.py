@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import n_words, written
+from timeweave.llm.common import with_words, written
 
 CAPACITY = 2048
 #: Pieces that are packed together by one task.
@@ -126,12 +126,12 @@ def _exchange(capacity: int, base: int):
     return run
 
 
-def pieces(docs: DataFrame, capacity: int, length: Column) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int, length: Column | None = None) -> DataFrame:
     """doc_id, piece, start and length: each document cut at multiples of the capacity. Documents without length have none."""
-    n = F.col("tw_n")
+    n = F.col("n")
+    lengths = with_words(docs, "doc_id", "long") if length is None else docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("n"))
     return (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.cast("long").alias("tw_n"))
-        .filter(n > 0)
+        lengths.filter(n > 0)
         .select("doc_id", n, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / capacity))).alias("piece"))
         .select("doc_id", "piece", (F.col("piece") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), n - F.col("piece") * capacity).alias("length"))
     )
@@ -154,7 +154,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    cut = written(pieces(docs, capacity, n_words() if length is None else length), "pack-pieces")
+    cut = written(pieces(docs, capacity, length), "pack-pieces")
     shards = max(1, -(-cut.count() // shard))
     keyed = cut.withColumn("tw_s", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
     packed = written(keyed.groupBy("tw_s").applyInPandas(_first(capacity), SCHEMA), "pack-0")

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import written
+from timeweave.llm.common import small_batches, written
 from timeweave.llm.textbatch import WHITE, spans_sum, texts, words
 
 #: Labelled documents and unlabelled ones that a fit reads at most, about; both are drawn by a hash of doc_id.
@@ -209,7 +209,7 @@ def _columns(docs: DataFrame) -> DataFrame:
     def column(name: str, kind: str):
         return (F.col(name) if name in docs.columns else F.lit(None)).cast(kind).alias(name)
 
-    return docs.select(column("doc_id", "long"), column("text", "string"), column("lang", "string"), column("source", "string"), column("n_chars", "double"))
+    return small_batches(docs).select(column("doc_id", "long"), column("text", "string"), column("lang", "string"), column("source", "string"), column("n_chars", "double"))
 
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +287,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
             p = _score_arrays(model, *views)[2]
             yield batch.filter(pa.array(p >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from timeweave.llm import mixing, packing, quality, secrets, simhash
+from timeweave.llm import mixing, packing, quality, secrets, simhash, substrings, tokenids
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": secrets.query,
         "op2_best_fit_packing": packing.query,
+        "op4_token_ids": tokenids.query,
         "op5_simhash_near_dedup": simhash.query,
         "op6_quality_classifier": quality.query,
+        "op7_substring_dedup": substrings.query,
         "op10_source_mixing": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_source_mixing": mixing.SQL}
+    return {"op7_substring_dedup": substrings.SQL, "op10_source_mixing": mixing.SQL}

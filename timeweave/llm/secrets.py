@@ -12,6 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from timeweave.llm.common import small_batches
 from timeweave.llm.textbatch import Texts, texts
 
 #: Bytes on either side that prime the compressor.
@@ -191,7 +192,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have none. Null ids are reported as null; equal rows are reported each. Other columns aren't read.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").mapInArrow(_reports, SCHEMA)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL").mapInArrow(_reports, SCHEMA)
 
 
 def _masked(text_at: int, chars_at: int):
@@ -231,7 +232,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     All rows and columns stay.
     """
     names = docs.columns
-    return docs.mapInArrow(_masked(names.index("text"), names.index("n_chars") if "n_chars" in names else -1), docs.schema)
+    return small_batches(docs).mapInArrow(_masked(names.index("text"), names.index("n_chars") if "n_chars" in names else -1), docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import fresh, parts, written
+from timeweave.llm.common import fresh, parts, small_batches, written
 from timeweave.llm.textbatch import ALNUM, U, mixed, texts, words
 
 BITS = 256
@@ -89,7 +89,7 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
 
 def fingerprint(docs: DataFrame) -> DataFrame:
     """doc_id and f0..f3, the 256 bits, of each document that has an id and a word."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     return narrow.mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long, f2 long, f3 long")
 
 
