@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from timeweave.plans import spectra, timelines, transcripts
+from timeweave.plans.timelines import condensed  # noqa: F401 - the flagship query
+
+MODULES = (timelines, transcripts, spectra)
+
 
 def queries() -> dict:
-    return {}
+    return {name: run for module in MODULES for name, (run, _) in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, (_, sql) in module.QUERIES.items() if sql}
