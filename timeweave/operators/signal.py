@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,17 +22,22 @@ AMPLITUDE, POINTS, REDUNDANCY = 3.0, 15, 0.025
 SHORTEST = int(0.1 * RATE / HOP + 0.5)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once: used in a lambda as it is, Catalyst would put its expression into each turn."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(values: Column) -> Column:
     """exp(v - max) over its sum, of an array."""
-    e = F.transform(values, lambda v: F.exp(v - F.array_max(values)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda a, x: a + x))
+
+    def shares(e: Column) -> Column:
+        return let(F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(e, lambda v: v / total))
+
+    return let(F.array_max(values), lambda top: let(F.transform(values, lambda v: F.exp(v - top)), shares))
 
 
 def with_softmax(frames: DataFrame, mag: str = "mag") -> DataFrame:
-    """frames with p; maximum and sum are worked out once a frame."""
-    e = frames.withColumn("tw_m", F.array_max(mag)).withColumn("tw_e", F.transform(mag, lambda v: F.exp(v - F.col("tw_m"))))
-    e = e.withColumn("tw_s", F.aggregate("tw_e", F.lit(0.0), lambda a, x: a + x))
-    return e.withColumn("p", F.transform("tw_e", lambda v: v / F.col("tw_s"))).drop("tw_m", "tw_e", "tw_s")
+    return frames.withColumn("p", softmax(F.col(mag)))
 
 
 def adjacent_divergence(frames: DataFrame, by: str = "rec", p: str = "p") -> DataFrame:
@@ -51,6 +58,10 @@ def smoothed(frames: DataFrame, column: str, out: str, by: str = "rec", taps: in
     return frames.withColumn(out, total)
 
 
+def _times(weight: float):
+    return lambda v: v * weight
+
+
 def smoothed_spectrum(frames: DataFrame, by: str = "rec", mag: str = "mag", taps: int = 5) -> DataFrame:
     """frames with mag smoothed in time and frequency by a normalised raised cosine each way; zero beyond the edges."""
     weights = smoothing(taps)
@@ -60,17 +71,19 @@ def smoothed_spectrum(frames: DataFrame, by: str = "rec", mag: str = "mag", taps
     for k, weight in enumerate(weights):
         at = k - half
         value = F.col(mag) if at == 0 else (F.lag(mag, -at) if at < 0 else F.lead(mag, at)).over(w)
-        value = F.coalesce(F.transform(value, lambda v, weight=weight: v * weight), F.array_repeat(F.lit(0.0), F.size(mag)))
+        value = F.coalesce(F.transform(value, _times(weight)), F.array_repeat(F.lit(0.0), F.size(mag)))
         total = value if total is None else F.zip_with(total, value, lambda a, b: a + b)
-    frames = frames.withColumn("tw_t", total)
 
-    def along(i: Column) -> Column:
-        out = F.lit(0.0)
-        for k, weight in enumerate(weights):
-            out = out + F.lit(weight) * F.coalesce(F.get("tw_t", (i + (k - half)).cast("int")), F.lit(0.0))
-        return out
+    def along(t: Column) -> Column:
+        def at(i: Column) -> Column:
+            out = F.lit(0.0)
+            for k, weight in enumerate(weights):
+                out = out + F.lit(weight) * F.coalesce(F.get(t, (i + (k - half)).cast("int")), F.lit(0.0))
+            return out
+
+        return F.when(F.size(t) > 0, F.transform(F.sequence(F.lit(0), F.size(t) - 1), at)).otherwise(t)
 
-    return frames.withColumn(mag, F.transform(F.sequence(F.lit(0), F.size("tw_t") - 1), along)).drop("tw_t")
+    return frames.withColumn(mag, let(total, along))
 
 
 def scaled(frames: DataFrame, by: str = "rec", mag: str = "mag", peak: float = PEAK) -> DataFrame:

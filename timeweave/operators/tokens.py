@@ -33,10 +33,9 @@ def offsets(tokens: DataFrame, by: str = "rec") -> DataFrame:
 def sentence_ends(tokens: DataFrame, by: str = "rec") -> DataFrame:
     """by, end_char: where a sentence ends in the text of the tokens (with start_pos): after . ? or ! before white space."""
     pieces = F.regexp_extract_all(F.concat("text", F.lit(" ")), F.lit(r"(?s)(.*?[.?!]+[ \t\n\r\f\x0B])"), F.lit(1))
-    sizes = tokens.select(by, "start_pos", F.transform(pieces, lambda p: F.length(p)).alias("n"))
-    # aggregated lengths: position of the k-th end
-    ends = F.transform(F.sequence(F.lit(1), F.size("n")), lambda k: F.aggregate(F.slice("n", 1, k), F.lit(0), lambda a, x: a + x))
-    return sizes.filter(F.size("n") > 0).select(by, F.explode(ends).alias("e"), "start_pos").select(by, (F.col("start_pos") + F.col("e") - 1).alias("end_char"))
+    each = tokens.select(by, "start_pos", F.posexplode(pieces).alias("tw_k", "piece"))
+    past = F.sum(F.length("piece")).over(W.partitionBy(by, "start_pos").orderBy("tw_k"))
+    return each.select(by, (F.col("start_pos") + past - 1).alias("end_char"))
 
 
 def assign_sentences(tokens: DataFrame, ends: DataFrame, by: str = "rec") -> DataFrame:

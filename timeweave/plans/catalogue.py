@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from timeweave.plans import spectra, timelines, transcripts
+from timeweave.plans import ingest, spectra, timelines, transcripts
 from timeweave.plans.timelines import condensed  # noqa: F401 - the flagship query
 
-MODULES = (timelines, transcripts, spectra)
+MODULES = (ingest, timelines, transcripts, spectra)
 
 
 def queries() -> dict:

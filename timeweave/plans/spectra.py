@@ -10,7 +10,7 @@ from timeweave.functions.numbers import smoothing
 from timeweave.operators import signal as sg
 
 
-AMPLITUDE, POINTS, SHORTEST, TAIL, REDUNDANCY = 5.0, 23, 3, 2, 0.21
+AMPLITUDE, POINTS, SHORTEST, TAIL, REDUNDANCY = 7.0, 56, 3, 2, 0.065
 
 
 def frames(spark: SparkSession, d: str) -> DataFrame:
