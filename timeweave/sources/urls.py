@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -102,8 +103,6 @@ def unique_names(names: DataFrame, taken: DataFrame | None = None, name: str = "
 
 def inspect(urls: DataFrame, fetch: Callable[[str], str | None], n_tasks: int | None = None) -> DataFrame:
     """INFO of each url by a function that returns it as JSON; what fails is a null row. Tasks do it side by side."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def look(batch: pd.Series) -> pd.Series:
         def one(url):
