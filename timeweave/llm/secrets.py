@@ -120,7 +120,7 @@ def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstanda
         if e - s < SHORT or any(a < e and s < b for a, b in taken):
             continue
         candidate = text[s:e]
-        if candidate.isdigit() and e - s < LONG:
+        if candidate.isdigit() and e - s < LONG or candidate in IDENTIFIERS:  # a copy of the dictionary isn't new, whatever its offset costs
             continue
         context = ""
         if SHAPED.match(candidate):
@@ -188,7 +188,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     it in its line, or its own shape says so; a private key between its markers is one candidate. zstandard, primed with a
     dictionary of identifiers and placeholders, compresses the 4 KB on either side without and with the candidate: what the
     candidate adds are its marginal bytes. It is reported from NOVELTY bytes per byte (PLAIN if it has no digit)
-    and LEAST bytes in all.
+    and LEAST bytes in all; a string that the dictionary holds as it is never is.
 
     Null and empty texts have none. Null ids are reported as null; equal rows are reported each. Other columns aren't read.
     """

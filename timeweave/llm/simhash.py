@@ -18,7 +18,7 @@ from timeweave.llm.textbatch import ALNUM, U, mixed, texts, words
 
 BITS = 256
 #: Documents are near duplicates up to this Hamming distance.
-DISTANCE = 52
+DISTANCE = 45
 #: Orders of the bits; each is cut into blocks of `block_bits` bits.
 ORDERS = 4
 LANES = [U(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
