@@ -87,6 +87,11 @@ def combine_by_priority(methods: Sequence[DataFrame], by: str = "rec") -> DataFr
     return reduce(lambda a, b: combine(a, b, by), methods)
 
 
+def row_columns(columns: Sequence[str], by: str) -> list[Column]:
+    """The columns of tw_row, the recording taken from tw_by: so it is known to be what the rows are partitioned by."""
+    return [F.col("tw_by").alias(by) if c == by else F.col("tw_row")[c].alias(c) for c in columns]
+
+
 def as_of(left: DataFrame, right: DataFrame, by: str, left_at: Column, right_at: Column, value: Column, name: str, backwards: bool = False) -> DataFrame:
     """left with `name`: value of the right row of greatest right_at <= left_at (least >= left_at if backwards), or null.
 
@@ -100,7 +105,7 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_at: Column, right_at:
     at, kind, v = F.col("tw_at"), F.col("tw_kind"), F.col("tw_value")
     order = (at.desc(), kind, v.desc()) if backwards else (at, kind, v)
     w = W.partitionBy("tw_by").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return both.withColumn(name, F.last("tw_value", True).over(w)).filter("tw_kind = 1").select("tw_row.*", name)
+    return both.withColumn(name, F.last("tw_value", True).over(w)).filter("tw_kind = 1").select(*row_columns(columns, by), name)
 
 
 def merged(ranges: DataFrame, by: str = "rec") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timeweave.functions.numbers import equal_parts
-from timeweave.operators.intervals import as_of, islands, merged, with_runs
+from timeweave.operators.intervals import as_of, merged, with_runs
 
 #: Samples: padding of a workspace, its greatest size, the greatest silent frame, and of a cross-fade.
 PAD, WORKSPACE, SILENT_FRAME, FADE = 512, 512 + 1000 * 1024 + 512, 10 * 1024, 64
@@ -126,24 +126,45 @@ def tolerate_noise(frames: DataFrame, by: str = "rec") -> DataFrame:
     return df.withColumn("src_n", F.when(F.col("dst_n") == 0, F.lit(0)).otherwise(F.col("src_n"))).drop("tw_run", "tw_noise")
 
 
+def _cumulated(frames: DataFrame, by: str, n: str) -> DataFrame:
+    """frames with tw_b and tw_e: samples before each, and up to its end."""
+    return frames.withColumn("tw_e", F.sum(n).over(W.partitionBy(by).orderBy("frame"))).withColumn("tw_b", F.col("tw_e") - F.col(n))
+
+
+def _padded(frames: DataFrame, edges: DataFrame, pad: int, by: str) -> DataFrame:
+    """edges (by, beg, fin, lo, hi: samples before and up to the end of each range) with new_beg and new_fin.
+
+    The padding reaches back to the last frame with tw_b <= lo - pad, and on to the last with tw_b < hi + pad: both are looked up
+    in one sorted pass, a probe for the latter standing before equal frames, one for the former after them."""
+    probe = lambda at, kind: F.struct(at.cast("long").alias("tw_at"), F.lit(kind).alias("tw_kind"))
+    probes = edges.select(F.col(by).alias("tw_by"), "beg", "fin", F.inline(F.array(probe(F.col("lo") - pad, 2), probe(F.col("hi") + pad, 0))))
+    points = frames.select(F.col(by).alias("tw_by"), F.col("tw_b").cast("long").alias("tw_at"), F.lit(1).alias("tw_kind"), "frame")
+    w = W.partitionBy("tw_by").orderBy("tw_at", "tw_kind", "frame").rowsBetween(W.unboundedPreceding, W.currentRow)
+    found = points.unionByName(probes, allowMissingColumns=True).withColumn("tw_f", F.last("frame", True).over(w)).filter("tw_kind <> 1")
+    new_beg, new_fin = F.max(F.when(F.col("tw_kind") == 2, F.col("tw_f"))), F.max(F.when(F.col("tw_kind") == 0, F.col("tw_f"))) + 1
+    grouped = found.groupBy("tw_by", "beg", "fin").agg(F.coalesce(new_beg, F.lit(0)).alias("new_beg"), new_fin.alias("new_fin"))
+    return grouped.select(F.col("tw_by").alias(by), "beg", "fin", "new_beg", "new_fin")
+
+
 def pad_ranges(frames: DataFrame, ranges: DataFrame, pad: int = PAD, by: str = "rec", n: str = "src_n") -> DataFrame:
     """by, beg, fin, new_beg, new_fin: ranges of frames widened frame by frame until `pad` samples are added, or the end is reached."""
-    w = W.partitionBy(by).orderBy("frame")
-    known = frames.select(by, "frame", F.sum(n).over(w).alias("tw_e"), F.col(n).alias("tw_n")).withColumn("tw_b", F.col("tw_e") - F.col("tw_n"))
-    known = known.withColumn("tw_many", F.max("frame").over(W.partitionBy(by)) + 1)
-    keep = [by, "beg", "fin"]
-    at = as_of(ranges.select(*keep), known, by, F.col("beg").cast("long"), F.col("frame").cast("long"), F.struct("tw_b", "tw_many"), "tw_l")
-    at = as_of(at, known, by, (F.col("fin") - 1).cast("long"), F.col("frame").cast("long"), F.struct("tw_e"), "tw_r")
-    at = at.select(*keep, (F.col("tw_l.tw_b") - pad).alias("tw_lo"), (F.col("tw_r.tw_e") + pad).alias("tw_hi"), F.col("tw_l.tw_many").alias("tw_many"))
-    at = as_of(at, known, by, F.col("tw_lo"), F.col("tw_b"), F.col("frame"), "tw_first")
-    at = as_of(at, known, by, F.col("tw_hi"), F.col("tw_e"), F.col("frame"), "tw_last", backwards=True)
-    return at.select(*keep, F.coalesce(F.col("tw_first"), F.lit(0)).alias("new_beg"), F.coalesce(F.col("tw_last") + 1, F.col("tw_many")).alias("new_fin"))
+    known = _cumulated(frames.select(by, "frame", n), by, n)
+    start = known.select(F.col(by).alias("tw_x"), F.col("frame").alias("tw_f1"), F.col("tw_b").alias("lo"))
+    end = known.select(F.col(by).alias("tw_y"), F.col("frame").alias("tw_f2"), F.col("tw_e").alias("hi"))
+    edges = ranges.join(start, (F.col(by) == F.col("tw_x")) & (F.col("beg") == F.col("tw_f1"))).join(end, (F.col(by) == F.col("tw_y")) & (F.col("fin") - 1 == F.col("tw_f2")))
+    return _padded(known, edges.select(by, "beg", "fin", "lo", "hi"), pad, by)
+
+
+def edited_ranges(frames: DataFrame, pad: int = PAD, by: str = "rec") -> DataFrame:
+    """by, beg, fin, new_beg, new_fin: the runs of edited frames, and how far their padding reaches."""
+    known = _cumulated(frames.select(by, "frame", "src_n", "edited"), by, "src_n")
+    runs = with_runs(known, by, "frame", "edited", "tw_run").filter("edited").groupBy(by, "tw_run").agg(F.min("frame").alias("beg"), (F.max("frame") + 1).alias("fin"), F.min("tw_b").alias("lo"), F.max("tw_e").alias("hi"))
+    return _padded(known, runs.drop("tw_run"), pad, by)
 
 
 def padded_edits(frames: DataFrame, pad: int = PAD, by: str = "rec") -> DataFrame:
     """by, beg, fin: the edited runs with their padding, made one where they meet."""
-    padded = pad_ranges(frames, islands(frames, by, "frame", "edited"), pad, by)
-    return merged(padded.select(by, F.col("new_beg").alias("beg"), F.col("new_fin").alias("fin")), by)
+    return merged(edited_ranges(frames, pad, by).select(by, F.col("new_beg").alias("beg"), F.col("new_fin").alias("fin")), by)
 
 
 def split_range(sizes: np.ndarray, limit: int) -> list[tuple[int, int]]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timeweave.operators.intervals import run_number, with_runs
+from timeweave.operators.intervals import row_columns, run_number, with_runs
 
 #: Seconds without speech after which a sentence ends.
 SILENCE = 3.0
@@ -51,7 +51,7 @@ def assign_sentences(tokens: DataFrame, ends: DataFrame, by: str = "rec") -> Dat
     w = W.partitionBy("tw_by").orderBy("tw_at", "tw_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
     counted = both.withColumn("tw_n", F.sum(1 - F.col("tw_kind")).over(w)).filter("tw_kind = 1")
     dense = F.dense_rank().over(W.partitionBy("tw_by").orderBy("tw_n")) - 1
-    return counted.withColumn("sent_id", dense).select("tw_row.*", "sent_id")
+    return counted.withColumn("sent_id", dense).select(*row_columns(columns, by), "sent_id")
 
 
 def split_by_silence(tokens: DataFrame, silence: float = SILENCE, by: str = "rec", within: str | None = None) -> DataFrame:

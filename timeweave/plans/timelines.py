@@ -168,8 +168,7 @@ def edit_noise_tolerance(s, d):
 
 
 def pad_ranges(s, d):
-    t = tolerant(s, d)
-    return whole(rt.pad_ranges(t, iv.islands(t, BY, "frame", "edited"), rt.PAD, BY), BY, "beg", "fin", "new_beg", "new_fin")
+    return whole(rt.edited_ranges(tolerant(s, d), rt.PAD, BY), BY, "beg", "fin", "new_beg", "new_fin")
 
 
 def merge_padded(s, d):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,9 +64,16 @@ def read_script(spark: SparkSession, *paths: str) -> DataFrame:
 
 
 def cache_dir(spark: SparkSession, *below: str) -> str:
-    """A place for kept files: under spark.timeweave.home, or spark.checkpoint.dir where that is unset. It can't be left with '..'."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.timeweave.home") or conf.get("spark.checkpoint.dir") or os.path.expanduser("~/.timeweave")
+    """A place for kept files: under spark.timeweave.home, or spark.checkpoint.dir where that is unset. It can't be left with '..'.
+
+    Where neither is set, a local session gets a temporary folder; a cluster gets an error, since its machines share none."""
+    context = spark.sparkContext
+    conf = context.getConf()
+    root = conf.get("spark.timeweave.home") or conf.get("spark.checkpoint.dir")
+    if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="timeweave-")
     for part in below:
         if part in ("", ".", "..") or "/" in part or "\\" in part:
             raise ValueError(f"{part!r} leads out of the cache")
