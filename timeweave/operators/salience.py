@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timeweave.functions.partitions import spread
+
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{00A0}]+"
 #: Words said without meaning, besides a language's stop words.
 FILLERS = ("um", "em", "uh", "er", "hm", "hmm", "okay", "right")
@@ -34,17 +36,17 @@ def lemmas(df: DataFrame, dictionary: DataFrame, term: str = "term") -> DataFram
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """word, n: of white-space separated words."""
-    return df.select(F.explode(F.split(F.col(text), r"[ \t\n\r\f\x0B]+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
+    return spread(df.select(text)).select(F.explode(F.split(F.col(text), r"[ \t\n\r\f\x0B]+")).alias("word")).filter("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def term_frequencies(df: DataFrame, doc: str, text: str = "text") -> DataFrame:
-    return df.select(doc, F.explode(terms(F.col(text))).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
+    return spread(df.select(doc, text)).select(doc, F.explode(terms(F.col(text))).alias("term")).groupBy(doc, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
     """term, df: rows that have the term. Each row's terms are made distinct where it lies, so that one exchange of (term, 1),
     summed before it, is enough."""
-    return df.select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return spread(df.select(text)).select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def tfidf(tf: DataFrame, model: DataFrame, n_docs: Column, doc: str) -> DataFrame:

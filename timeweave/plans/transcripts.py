@@ -82,7 +82,7 @@ def sentence_bounds(s, d):
 def characters(s, d):
     """rec (conversation and turn), idx, ch, start_time of every character of every turn."""
     c = s.read.parquet(f"{d}/conversations.parquet").filter("length(text) > 0").select(F.concat_ws(":", "conv_id", "turn").alias("rec"), "text")
-    cut = F.transform(F.sequence(F.lit(1), F.length("text")), lambda i: F.substring("text", i, F.lit(1)))
+    cut = F.filter(F.split("text", ""), lambda ch: ch != "")
     return c.select("rec", F.posexplode(cut).alias("idx", "ch")).withColumn("start_time", F.col("idx") * 60 / 1000)
 
 
