@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from timeweave.functions.partitions import spread
 from timeweave.llm.textbatch import count_words
 
 
@@ -75,11 +76,11 @@ def with_words(df: DataFrame, key: str, kind: str) -> DataFrame:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """df; in its session, Arrow batches hold 2,000 rows unless another number is set, as rows with whole texts are large."""
+    """df, on all cores; in its session, Arrow batches hold 2,000 rows unless another number is set, as rows with whole texts are large."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    return df
+    return spread(df)
 
 
 #: Characters that end a word, here and in DuckDB.
