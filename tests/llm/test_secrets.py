@@ -1,3 +1,6 @@
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +21,14 @@ TEXTS = [
 ]
 
 
+def scanned(texts):
+    """The secrets of each text."""
+    out = [[] for _ in texts]
+    for row, text, found in S.scan_batch(pa.array(texts), S._compressor()):
+        out[row] = [text[f.start : f.end].decode() for f in found]
+    return out
+
+
 def test_finds_and_masks(docs_of):
     docs = docs_of([(i, t) for i, t, _ in TEXTS] + [(1, TEXTS[0][1]), (None, TEXTS[0][1])], START=F.lit(1), context=F.lit("x"))
     text = {i: t for i, t, _ in TEXTS} | {None: TEXTS[0][1]}
@@ -49,5 +60,17 @@ def test_placeholders_are_cheap(known):
     assert S.marginal_bytes(comp, f"key = {known} end".encode(), 6, 6 + len(known)) < 0.5 * len(known)
 
 
+@pytest.mark.parametrize("around", [40, 64])
+@pytest.mark.parametrize("n", [32, 40, 64, 128, 256])
+def test_hex_keys_among_other_keys(n, around):
+    rng = random.Random(n)
+    digits = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
+    texts, keys = [], [digits(n) for _ in range(12)]
+    for key in keys:
+        listed = ["".join(f"{digits(around)}  file{rng.randrange(999)}.bin\n" for _ in range(80)) for _ in range(2)]
+        texts.append(f'{listed[0]}token = "{key}"\n{listed[1]}')
+    assert scanned(texts) == [[k] for k in keys]
+
+
 def test_empty_table(docs_of):
     assert S.find_secrets(docs_of([])).count() == 0 and S.mask_secrets(docs_of([])).count() == 0

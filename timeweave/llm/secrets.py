@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -21,6 +22,8 @@ WINDOW = 4096
 CONTEXT = 64
 #: Marginal compressed bytes per byte, and in all, from which a candidate counts as incompressible; PLAIN: of those without a digit.
 NOVELTY, PLAIN, LEAST = 0.55, 0.9, 8
+#: Share of what a random string over the candidate's alphabet needs that is enough, where that is less than NOVELTY or LEAST.
+RANDOM = 0.65
 SHORT, LONG, LONGEST = 8, 16, 4096
 MASK = "[REDACTED]"
 
@@ -31,6 +34,8 @@ DIGIT[[*b"0123456789"]] = True
 SKIP = np.zeros(256, bool)
 SKIP[[*b" \t\"'`"]] = True
 SENSITIVE = re.compile(rb"(?:pass(?:wor[dt]|wd|phrase|code)?|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth(?:orization)?|bearer|credential|private[_\- ]?key|client[_\- ]?key|signing[_\- ]?key|encryption[_\- ]?key|account[_\- ]?key|session[_\- ]?key|\bkey|salt)s?\b", re.I)
+#: Alphabets of random strings, smallest first, with their sizes.
+ALPHABETS = [(re.compile(rb"[%s]+" % chars), size) for chars, size in ((rb"0-9", 10), (rb"0-9a-f", 16), (rb"0-9A-F", 16), (rb"A-Z2-7", 32), (rb"0-9a-z", 36), (rb"0-9A-Z", 36), (rb"0-9A-Za-z", 62), (rb"0-9A-Za-z+/_-", 66))]
 #: Shapes that are sensitive by themselves.
 SHAPED = re.compile(rb"(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|github_pat_\w{40,}$|glpat-[\w-]{18,}$|xox[abprs]-[\w-]{10,}$|sk[-_](?:live_|test_|proj-|ant-)?[\w-]{18,}$|AIza[\w-]{33,}$|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}$|npm_[A-Za-z0-9]{30,}$|hf_[A-Za-z0-9]{30,}$")
 PEM = re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(.{16,}?)-----END", re.S)
@@ -73,6 +78,16 @@ def marginal_bytes(compressor: zstandard.ZstdCompressor, text: bytes, start: int
     return len(compressor.compress(around + candidate)) - len(compressor.compress(around))
 
 
+def enough(candidate: bytes) -> float:
+    """Marginal bytes from which a candidate counts as random: against its own alphabet, as a hex digit can't add more than half a byte."""
+    n = len(candidate)
+    if not any(b in b"0123456789" for b in candidate):
+        return max(LEAST, PLAIN * n)
+    bits = math.log2(next((size for pattern, size in ALPHABETS if pattern.fullmatch(candidate)), 256))
+    random = RANDOM * n * bits / 8
+    return max(min(NOVELTY * n, random), min(LEAST, random) if n >= LONG else LEAST)
+
+
 def _runs(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and text of the runs of credential characters that are long, or short and assigned, and not plain words."""
     data = t.data
@@ -133,8 +148,7 @@ def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstanda
         if not context:
             continue
         cost = marginal_bytes(compressor, text, s, min(e, s + LONGEST))
-        rate = NOVELTY if any(b in b"0123456789" for b in candidate) else PLAIN
-        if cost >= LEAST and cost >= rate * min(e - s, LONGEST):
+        if cost >= enough(candidate[:LONGEST]):
             found.append(Found(s, e, context, cost))
     return sorted(found)
 
@@ -188,7 +202,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     it in its line, or its own shape says so; a private key between its markers is one candidate. zstandard, primed with a
     dictionary of identifiers and placeholders, compresses the 4 KB on either side without and with the candidate: what the
     candidate adds are its marginal bytes. It is reported from NOVELTY bytes per byte (PLAIN if it has no digit)
-    and LEAST bytes in all; a string that the dictionary holds as it is never is.
+    and LEAST bytes in all, or, if that is less and it has a digit, from RANDOM of the bytes that a random string over its
+    alphabet (digits, hex, base32, letters with digits, base64) needs; under LONG bytes, LEAST bytes in all hold in any case. A string
+    that the dictionary holds as it is never is.
 
     Null and empty texts have none. Null ids are reported as null; equal rows are reported each. Other columns aren't read.
     """
