@@ -51,6 +51,15 @@ def test_best_fit_and_bound():
     assert P.lower_bound(np.array([51] * 7), 100) == 7  # more than the sum says
 
 
+def test_bound_tries_every_threshold():
+    lognormal = np.random.default_rng(1).lognormal(np.log(1200), 0.3, 20_000).astype(int).clip(1, 2048)
+    uniform = np.random.default_rng(1).integers(700, 1501, 20_000)
+    for x in (lognormal, uniform):
+        best = max(np.where(x > 2048 - e, 2048, x)[x >= e].sum() for e in range(1, 1025))
+        assert P.lower_bound(x, 2048) >= -(-int(best) // 2048)
+    assert P.best_fit_decreasing(np.sort(lognormal)[::-1], 2048).max() + 1 == P.lower_bound(lognormal, 2048)
+
+
 def test_every_piece_is_packed_once(docs_of):
     rows = [(k, " ".join(["w"] * n)) for k, n in enumerate([5, 5, 0, 23, 10, 7, 3, 1, 9, 9, 4] * 5)] + [(None, "a b"), (3, "x y z"), (99, None)]
     docs = docs_of(rows, bin=F.lit(1), n=F.lit("x"), TW_S=F.lit(2))

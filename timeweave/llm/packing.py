@@ -61,14 +61,14 @@ def _place(same: list[int], at: int) -> int:
     return lo
 
 
-def lower_bound(lengths: np.ndarray, capacity: int, most: int = 64) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     """Bins that any packing needs, by dual feasible functions.
 
     Such a function f keeps every set of pieces that fits a bin within a bin, so ceil(sum(f(lengths)) / f(capacity)) is a
     bound. Tried: the identity; the staircases u(k) of Fekete and Schepers, that round x*(k+1)/capacity down unless it is
     whole, k up to 20; and the threshold functions U(e), which drop pieces under e and count those over capacity - e as
-    full. Thresholds are the different lengths up to half a bin, at most `most` of them, evenly spread: any choice of
-    functions gives a valid bound.
+    full. Thresholds are all the different lengths up to half a bin: between two of them U(e) says no
+    more than at the longer, and beyond the longest no more than u(1).
     """
     x = np.asarray(lengths, np.int64)
     x = x[x > 0]
@@ -84,12 +84,10 @@ def lower_bound(lengths: np.ndarray, capacity: int, most: int = 64) -> int:
     total = np.concatenate([[0], np.cumsum(size * count)])
     number = np.concatenate([[0], np.cumsum(count)])
     steps = size[size * 2 <= capacity]
-    if len(steps) > most:
-        steps = steps[np.linspace(0, len(steps) - 1, most).astype(np.int64)]
-    for e in steps:
-        low, high = np.searchsorted(size, e, "left"), np.searchsorted(size, capacity - e, "right")
-        weight = int(total[high] - total[low]) + capacity * int(number[-1] - number[high])
-        best = max(best, -(-weight // capacity))
+    if len(steps):
+        low, high = np.searchsorted(size, steps, "left"), np.searchsorted(size, capacity - steps, "right")
+        weight = total[high] - total[low] + capacity * (number[-1] - number[high])
+        best = max(best, -(-int(weight.max()) // capacity))
     return best
 
 
