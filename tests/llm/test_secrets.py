@@ -72,5 +72,20 @@ def test_hex_keys_among_other_keys(n, around):
     assert scanned(texts) == [[k] for k in keys]
 
 
+NAMES = ["SECRET_KEY = '{}'", "aws_secret_key={}", "secretKey: {}", "STRIPE_KEY={}", "ssh_key: {}", "master_key={}", "DB_PASSWORD_PROD={}", "API_KEY_PROD={}", "token_value={}", "password1 = {}", "AWSKey = {}", "api_token: str = '{}'"]
+FAR = ['{{"token":\n  "{}"}}', "tokens = [\n  'a',\n  '{}',\n]", "token = 'x' + \\\n  '{}'", "secrets:\n  - first\n  - {}\n", f"token = decode('{'ab ' * 40}',\n  '{{}}')", "- name: API_KEY\n  value: {}", f"token ={' ' * 80}{{}}"]
+OTHERS = ["keyboard = {}", "monkey = {}", "tokenizer = {}", "passed: {}", "tokens = ['a', 'b']\ncommit = {}", "key: (see below\ncommit {}", "if token:\n    x({})"]
+
+
+@pytest.mark.parametrize("shape", NAMES + FAR)
+def test_names_by_their_parts_over_the_whole_assignment(shape):
+    assert scanned(["lorem\n" + shape.format(KEY) + "\nipsum"]) == [[KEY]]
+
+
+@pytest.mark.parametrize("shape", OTHERS)
+def test_other_names_are_not_sensitive(shape):
+    assert scanned(["lorem\n" + shape.format(KEY) + "\nipsum"]) == [[]]
+
+
 def test_empty_table(docs_of):
     assert S.find_secrets(docs_of([])).count() == 0 and S.mask_secrets(docs_of([])).count() == 0

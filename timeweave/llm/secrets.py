@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -18,7 +19,7 @@ from timeweave.llm.textbatch import Texts, texts
 
 #: Bytes on either side that prime the compressor.
 WINDOW = 4096
-#: Bytes before a candidate, within its line, in which a sensitive word makes the context sensitive.
+#: Bytes before a candidate that isn't part of an assignment, within its line, in which a sensitive word makes the context sensitive.
 CONTEXT = 64
 #: Marginal compressed bytes per byte, and in all, from which a candidate counts as incompressible; PLAIN: of those without a digit.
 NOVELTY, PLAIN, LEAST = 0.55, 0.9, 8
@@ -33,7 +34,22 @@ DIGIT = np.zeros(256, bool)
 DIGIT[[*b"0123456789"]] = True
 SKIP = np.zeros(256, bool)
 SKIP[[*b" \t\"'`"]] = True
-SENSITIVE = re.compile(rb"(?:pass(?:wor[dt]|wd|phrase|code)?|pwd|secret|token|api[_\- ]?key|access[_\- ]?key|auth(?:orization)?|bearer|credential|private[_\- ]?key|client[_\- ]?key|signing[_\- ]?key|encryption[_\- ]?key|account[_\- ]?key|session[_\- ]?key|\bkey|salt)s?\b", re.I)
+#: Words that make sensitive what they name, as parts of identifiers: they end before anything but a letter, or where a capital begins a part.
+WORD = (
+    rb"(?:(?i:pass(?:wor[dt]|wd|phrase|code)?|pwd|secret|token|auth(?:orization)?|bearer|credential|salt"
+    rb"|(?:api|access|auth|secret|private|client|signing|encryption|account|session|master|storage|shared|service|ssh)[_\- ]?key)"
+    rb"|(?:(?<![A-Za-z])|(?<=[a-z])(?=K)|(?=K[a-z]))(?i:key))(?i:s)?(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z])|(?=[A-Z][a-z]))"
+)
+SENSITIVE = re.compile(WORD)
+#: Such a name up to the sign after it, also with a type between, or as the name of a pair of name and value.
+NAMED = re.compile(b"(" + WORD + rb")[\w.\-]{0,256}+[\"'`]?\]?(?:[ \t]*+(?::[ \t]*+[A-Za-z_&][\w.\[\]<>|&*?]{0,40}[ \t]+=(?=[ \t])|=>|:=|={1,3}|:(?!:))|\s*+,?\s*+[\"']?(?i:value)[\"']?[ \t]*+[:=])")
+QUOTED = rb"\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`"
+QUOTE, BRACKET = re.compile(QUOTED, re.S), re.compile(QUOTED + rb"|[\[\](){}]", re.S)
+#: White space before a value: its line's, and that to a quote or bracket on the next line. Items of a list and a block of text, of YAML.
+GAP = re.compile(rb"[ \t]*+(?:\\?\r?\n\s*+(?=[\"'`\[({]))?")
+ITEMS = re.compile(rb"(?:[ \t]*+\r?\n[ \t]*+-[ \t]++[^\n]*+)++|[ \t]*+[|>][+-]?[ \t]*+(?:\r?\n[ \t]++[^\n]*+)++")
+BARE = re.compile(rb"[^\s\"'`(\[{]++")
+MORE = re.compile(rb"(?:\s*+(?:\+|\|\||\?\?|\bor\b|\.\.)|[ \t]*+\\\r?\n)(?:\s|\\\r?\n)*+|(?=[\"'`(\[{.])")
 #: Alphabets of random strings, smallest first, with their sizes.
 ALPHABETS = [(re.compile(rb"[%s]+" % chars), size) for chars, size in ((rb"0-9", 10), (rb"0-9a-f", 16), (rb"0-9A-F", 16), (rb"A-Z2-7", 32), (rb"0-9a-z", 36), (rb"0-9A-Z", 36), (rb"0-9A-Za-z", 62), (rb"0-9A-Za-z+/_-", 66))]
 #: Shapes that are sensitive by themselves.
@@ -121,6 +137,59 @@ def _runs(t: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return s[keep], e[keep], doc[keep]
 
 
+def _closes(text: bytes) -> dict[int, int]:
+    """Where each bracket outside quotes closes."""
+    out: dict[int, int] = {}
+    stack: list[int] = []
+    for m in BRACKET.finditer(text):
+        c = m[0]
+        if c in b"[({":
+            stack.append(m.start())
+        elif c in b"])}":
+            while stack and text[stack[-1]] + (1 if c == b")" else 2) != c[0]:
+                stack.pop()
+            if stack:
+                out[stack.pop()] = m.start()
+    return out
+
+
+def assignments(text: bytes) -> list[tuple[int, int, bytes]]:
+    """Start and end of what sensitive names are assigned, and the word in the name: literals and what joins them, brackets to
+    where they close, calls with their arguments, the items of a list. They are in order and don't overlap."""
+    out: list[tuple[int, int, bytes]] = []
+    closes: dict[int, int] | None = None
+    m = NAMED.search(text)
+    while m:
+        at = m.end()
+        if items := ITEMS.match(text, at):
+            end = items.end()
+        else:
+            end = at = GAP.match(text, at).end()
+            while end < len(text):
+                if piece := QUOTE.match(text, end):
+                    end = piece.end()
+                elif text[end] in b"[({":
+                    if closes is None:
+                        closes = _closes(text)
+                    line = text.find(b"\n", end)
+                    end = closes[end] + 1 if end in closes else line if line >= 0 else len(text)
+                elif piece := BARE.match(text, end):
+                    end = piece.end()
+                elif text[end] in b"\"'`":  # it doesn't close
+                    end += 1
+                    continue
+                else:
+                    break
+                more = MORE.match(text, end)
+                if not more:
+                    break
+                end = more.end()
+        if end > at:
+            out.append((at, end, m[1]))
+        m = NAMED.search(text, max(end, m.end()))
+    return out
+
+
 def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstandard.ZstdCompressor) -> list[Found]:
     """The secrets among the candidate spans of a text, and its private keys. What is reported never overlaps."""
     found: list[Found] = []
@@ -129,6 +198,7 @@ def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstanda
             if len(text) and (cost := marginal_bytes(compressor, text, m.start(1), min(m.end(1), m.start(1) + LONGEST))) >= LEAST:
                 found.append(Found(m.start(1), m.end(1), "private key", cost))
     taken = [(f.start, f.end) for f in found]
+    assigned = assignments(text)
     for s, e in spans:
         while e > s and text[e - 1] in b".-/~":  # the end of a sentence isn't part of a credential
             e -= 1
@@ -141,9 +211,12 @@ def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstanda
         if SHAPED.match(candidate):
             context = "shape"
         else:
+            k = bisect_right(assigned, s, key=lambda x: x[0]) - 1
             head = text[max(0, s - CONTEXT) : s].rsplit(b"\n", 1)[-1]
             words = list(SENSITIVE.finditer(head))
-            if words:
+            if k >= 0 and s < assigned[k][1]:
+                context = assigned[k][2].decode().lower()
+            elif words:
                 context = words[-1].group(0).decode().lower()
         if not context:
             continue
@@ -198,8 +271,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     marginal_bytes, novelty (marginal bytes per byte) and a preview that doesn't give the secret away.
 
     docs: needs doc_id and text. A candidate is a run of credential characters with a digit, of 16 bytes at least, or one of 8
-    that is assigned (after = or :). Its context is sensitive if a word like token or password stands in the 64 bytes before
-    it in its line, or its own shape says so; a private key between its markers is one candidate. zstandard, primed with a
+    that is assigned (after = or :). Its context is sensitive if it belongs to what a name with a word like token or password in it
+    is assigned (however far, over lines, lists and calls), if such a word stands in the 64 bytes before it in its line, or if
+    its own shape says so; a private key between its markers is one candidate. zstandard, primed with a
     dictionary of identifiers and placeholders, compresses the 4 KB on either side without and with the candidate: what the
     candidate adds are its marginal bytes. It is reported from NOVELTY bytes per byte (PLAIN if it has no digit)
     and LEAST bytes in all, or, if that is less and it has a digit, from RANDOM of the bytes that a random string over its
