@@ -87,5 +87,31 @@ def test_other_names_are_not_sensitive(shape):
     assert scanned(["lorem\n" + shape.format(KEY) + "\nipsum"]) == [[]]
 
 
+@pytest.mark.parametrize("value", ["xK#9$mQ!2vL@7pR", "P@ssw0rd!2024#Zx", "aB3$d(9)k!Lw", "q7'Zr#4!mV9"])
+@pytest.mark.parametrize("shape", ['password = "{}"', "DB_PASSWORD={}", '{{"password": "{}", "user": "bob"}}', "passwords = [\"x1\", \"{}\"]", 'connect("h", password="{}")'])
+def test_whole_values_with_punctuation(shape, value):
+    assert scanned(["lorem ipsum dolor sit amet\n" + shape.format(value) + "\nend of it"]) == [[value]]
+
+
+@pytest.mark.parametrize("text", ['password = get_password("user1", 2)', "token = self.tokens[self.pos+1]", 'password = "${DB_PASSWORD_1}"', 'token = headers["X-Token-1"]', "secret = $(cat /run/secrets/db1)"])
+def test_references_and_calls_are_not_values(text):
+    assert scanned(["lorem ipsum\n" + text + "\nend"]) == [[]]
+
+
+def test_a_short_value_is_taken_whole():
+    assert scanned(['lorem ipsum dolor sit amet\npassword = "Tr0ub4dor&3"\nend of it']) == [["Tr0ub4dor&3"]]
+
+
+def test_an_unquoted_value_ends_with_its_field():
+    assert scanned([f"host=db;Password={KEY};Timeout=5", f'<a href="/x?token={KEY}&user=bob">text</a>', f"<token>\ntoken: {KEY}</token>"]) == [[KEY]] * 3
+    assert scanned([f"password=ab1;password=xK#9$mQ!2vL@7pR;token={KEY}"]) == [["xK#9$mQ!2vL@7pR", KEY]]
+
+
+def test_values_of_punctuation_end():
+    rng = random.Random(3)
+    texts = ["token: " + "".join(rng.choice("ab1 .,;:=\"'`()[]{}\\\n-$<>/") for _ in range(60)) for _ in range(3000)] + ["token: ...", "key = .'.", "token:"]
+    assert len(scanned(texts)) == 3003
+
+
 def test_empty_table(docs_of):
     assert S.find_secrets(docs_of([])).count() == 0 and S.mask_secrets(docs_of([])).count() == 0

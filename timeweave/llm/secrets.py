@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -43,12 +43,21 @@ WORD = (
 SENSITIVE = re.compile(WORD)
 #: Such a name up to the sign after it, also with a type between, or as the name of a pair of name and value.
 NAMED = re.compile(b"(" + WORD + rb")[\w.\-]{0,256}+[\"'`]?\]?(?:[ \t]*+(?::[ \t]*+[A-Za-z_&][\w.\[\]<>|&*?]{0,40}[ \t]+=(?=[ \t])|=>|:=|={1,3}|:(?!:))|\s*+,?\s*+[\"']?(?i:value)[\"']?[ \t]*+[:=])")
+#: What sensitive words have in them, in lower case.
+ANCHORS = (b"pass", b"pwd", b"secret", b"token", b"auth", b"bearer", b"credential", b"salt", b"key")
+BEFORE_KEY = re.compile(rb"(?i:api|access|private|client|signing|encryption|account|session|master|storage|shared|service|ssh)[_\- ]?\Z")
 QUOTED = rb"\"\"\".*?\"\"\"|'''.*?'''|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`"
 QUOTE, BRACKET = re.compile(QUOTED, re.S), re.compile(QUOTED + rb"|[\[\](){}]", re.S)
 #: White space before a value: its line's, and that to a quote or bracket on the next line. Items of a list and a block of text, of YAML.
 GAP = re.compile(rb"[ \t]*+(?:\\?\r?\n\s*+(?=[\"'`\[({]))?")
 ITEMS = re.compile(rb"(?:[ \t]*+\r?\n[ \t]*+-[ \t]++[^\n]*+)++|[ \t]*+[|>][+-]?[ \t]*+(?:\r?\n[ \t]++[^\n]*+)++")
 BARE = re.compile(rb"[^\s\"'`(\[{]++")
+#: Values that only refer to another: variables, templates, placeholders in angle brackets; and a call or index that isn't a literal.
+REFERENCE = re.compile(rb"\$[A-Z_][A-Z0-9_]*|\$?\{.*\}|\$\(.*|<[^<>]*>|%\w+%|%\(\w+\)s")
+CODE = re.compile(rb"[&*!$]*[A-Za-z_][\w.:]*(?:[(\[{][\"'`].*|(?:[(\[{]|::|->)[^#$!@%^?~]*)|\$\w+", re.S)
+PART = re.compile(rb"\S+")
+#: Where an unquoted value ends besides: before the next name and sign of a list of them, and before a closing tag.
+NEXT = re.compile(rb"[,;&](?=[\"']?[A-Za-z_][\w.\-]{0,256}+[\"']?[=:])|</")
 MORE = re.compile(rb"(?:\s*+(?:\+|\|\||\?\?|\bor\b|\.\.)|[ \t]*+\\\r?\n)(?:\s|\\\r?\n)*+|(?=[\"'`(\[{.])")
 #: Alphabets of random strings, smallest first, with their sizes.
 ALPHABETS = [(re.compile(rb"[%s]+" % chars), size) for chars, size in ((rb"0-9", 10), (rb"0-9a-f", 16), (rb"0-9A-F", 16), (rb"A-Z2-7", 32), (rb"0-9a-z", 36), (rb"0-9A-Z", 36), (rb"0-9A-Za-z", 62), (rb"0-9A-Za-z+/_-", 66))]
@@ -153,31 +162,81 @@ def _closes(text: bytes) -> dict[int, int]:
     return out
 
 
-def assignments(text: bytes) -> list[tuple[int, int, bytes]]:
-    """Start and end of what sensitive names are assigned, and the word in the name: literals and what joins them, brackets to
-    where they close, calls with their arguments, the items of a list. They are in order and don't overlap."""
-    out: list[tuple[int, int, bytes]] = []
+def _named(text: bytes) -> Iterator[re.Match]:
+    """NAMED at every sensitive word, also where matches overlap. A search for fixed strings finds the words: it is much faster."""
+    lower = text.lower()
+    places = []
+    for word in ANCHORS:
+        at = lower.find(word)
+        while at >= 0:
+            before = BEFORE_KEY.search(text, max(0, at - 12), at) if word == b"key" else None
+            places.append(before.start() if before else at)
+            at = lower.find(word, at + 1)
+    for at in sorted(places):
+        if m := NAMED.match(text, at):
+            yield m
+
+
+def _literal(text: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of a quoted string between white space, without its quotes."""
+    mark = 3 if text[start : start + 3] in (b'"""', b"'''") and end - start >= 6 else 1
+    for m in PART.finditer(text, start + mark, end - mark):
+        if not REFERENCE.fullmatch(m[0]):
+            yield m.start(), m.end()
+
+
+def _plain(text: bytes, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """The parts of an unquoted value between white space, up to a quote that was open before, without the punctuation around them."""
+    line = text[max(0, start - WINDOW) : start].rsplit(b"\n", 1)[-1]
+    ends = [at for q in (b'"', b"'", b"`") if line.count(q) % 2 and (at := text.find(q, start, end)) >= 0]
+    for m in PART.finditer(text, start, min([end, *ends])):
+        part = NEXT.split(m[0], maxsplit=1)[0].rstrip(b".,;:-/~\"'`")
+        for opening, closing in ((b"(", b")"), (b"[", b"]"), (b"{", b"}"), (b"<", b">")):
+            if part.endswith(closing) and opening not in part:
+                part = part[:-1].rstrip(b".,;:\"'`")
+        if part and not REFERENCE.fullmatch(part) and not CODE.fullmatch(part):
+            yield m.start(), m.start() + len(part)
+
+
+def assignments(text: bytes) -> list[tuple[int, int, bytes, list[tuple[int, int]]]]:
+    """Start and end of what sensitive names are assigned, the word in the name, and the values in it. What is assigned:
+    literals and what joins them, brackets to where they close, calls with their arguments, the items of a list. Values: quoted
+    strings and what stands alone, at white space apart. All are in order and don't overlap."""
+    out: list[tuple[int, int, bytes, list[tuple[int, int]]]] = []
     closes: dict[int, int] | None = None
-    m = NAMED.search(text)
-    while m:
+    end = 0
+    for m in _named(text):
+        if m.start() < end:
+            continue
         at = m.end()
+        values: list[tuple[int, int]] = []
         if items := ITEMS.match(text, at):
-            end = items.end()
+            end, last = items.end(), at
+            for piece in QUOTE.finditer(text, at, end):
+                values += [*_plain(text, last, piece.start()), *_literal(text, *piece.span())]
+                last = piece.end()
+            values += _plain(text, last, end)
         else:
             end = at = GAP.match(text, at).end()
             while end < len(text):
                 if piece := QUOTE.match(text, end):
                     end = piece.end()
+                    values += _literal(text, *piece.span())
                 elif text[end] in b"[({":
                     if closes is None:
                         closes = _closes(text)
                     line = text.find(b"\n", end)
-                    end = closes[end] + 1 if end in closes else line if line >= 0 else len(text)
-                elif piece := BARE.match(text, end):
-                    end = piece.end()
+                    first, end = end, closes[end] + 1 if end in closes else line if line >= 0 else len(text)
+                    index = text[first] == ord("[") and (text[first - 1 : first].isalnum() or text[first - 1] in b"_)]")
+                    for piece in () if index else QUOTE.finditer(text, first, end):
+                        values += _literal(text, *piece.span())
                 elif text[end] in b"\"'`":  # it doesn't close
                     end += 1
                     continue
+                elif piece := PART.match(text, end):
+                    alone = [] if CODE.fullmatch(piece[0]) else list(_plain(text, *piece.span()))
+                    values += alone
+                    end = max(end + 1, alone[-1][1] if alone else BARE.match(text, end).end())
                 else:
                     break
                 more = MORE.match(text, end)
@@ -185,8 +244,7 @@ def assignments(text: bytes) -> list[tuple[int, int, bytes]]:
                     break
                 end = more.end()
         if end > at:
-            out.append((at, end, m[1]))
-        m = NAMED.search(text, max(end, m.end()))
+            out.append((at, end, m[1], values))
     return out
 
 
@@ -199,10 +257,15 @@ def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstanda
                 found.append(Found(m.start(1), m.end(1), "private key", cost))
     taken = [(f.start, f.end) for f in found]
     assigned = assignments(text)
+    values = [v for a in assigned for v in a[3]]
+    runs = []
     for s, e in spans:
         while e > s and text[e - 1] in b".-/~":  # the end of a sentence isn't part of a credential
             e -= 1
-        if e - s < SHORT or any(a < e and s < b for a, b in taken):
+        runs.append((s, e))
+    for s, e in dict.fromkeys([*values, *runs]):
+        near = bisect_right(taken, (s, e))
+        if e - s < SHORT or near and taken[near - 1][1] > s or near < len(taken) and taken[near][0] < e:
             continue
         candidate = text[s:e]
         if candidate.isdigit() and e - s < LONG or candidate in IDENTIFIERS:  # a copy of the dictionary isn't new, whatever its offset costs
@@ -223,6 +286,7 @@ def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstanda
         cost = marginal_bytes(compressor, text, s, min(e, s + LONGEST))
         if cost >= enough(candidate[:LONGEST]):
             found.append(Found(s, e, context, cost))
+            insort(taken, (s, e))
     return sorted(found)
 
 
@@ -237,6 +301,8 @@ def scan_batch(column: pa.Array, compressor: zstandard.ZstdCompressor) -> Iterat
             d = int(np.searchsorted(t.bounds, at, "right")) - 1
             rows.add(d)
             at = whole.find(b"PRIVATE KEY-----", int(t.bounds[d + 1]))
+        for m in _named(whole):
+            rows.update((np.searchsorted(t.bounds, [m.start(), m.end() - 1], "right") - 1).tolist())
         for d in sorted(rows):
             lo, hi = int(t.bounds[d]), int(t.bounds[d + 1])
             a, b = np.searchsorted(doc, [d, d + 1])
@@ -271,7 +337,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     marginal_bytes, novelty (marginal bytes per byte) and a preview that doesn't give the secret away.
 
     docs: needs doc_id and text. A candidate is a run of credential characters with a digit, of 16 bytes at least, or one of 8
-    that is assigned (after = or :). Its context is sensitive if it belongs to what a name with a word like token or password in it
+    that is assigned (after = or :), or, in what a sensitive name is assigned, a value of 8 bytes whatever characters it has: of
+    a quoted string what stands between white space, else all up to white space; what only refers to another value or is a call
+    isn't one. The value as a whole goes before the runs in it. Its context is sensitive if it belongs to what a name with a word like token or password in it
     is assigned (however far, over lines, lists and calls), if such a word stands in the 64 bytes before it in its line, or if
     its own shape says so; a private key between its markers is one candidate. zstandard, primed with a
     dictionary of identifiers and placeholders, compresses the 4 KB on either side without and with the candidate: what the
