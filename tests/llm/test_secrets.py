@@ -107,6 +107,19 @@ def test_an_unquoted_value_ends_with_its_field():
     assert scanned([f"password=ab1;password=xK#9$mQ!2vL@7pR;token={KEY}"]) == [["xK#9$mQ!2vL@7pR", KEY]]
 
 
+def test_a_long_candidate_is_measured_to_its_end():
+    rng = random.Random(5)
+    tail = "".join(rng.choice("0123456789abcdef") for _ in range(3000))
+    for head in ("A" * 4096, "QUFB" * 3000):
+        text = f'token = "{head}{tail}" end'
+        assert scanned([text]) == [[head + tail]]
+        [found] = S.scan_text(text.encode(), iter([]), S._compressor())
+        assert found.marginal >= 1400 and 0.25 < found.novelty <= 0.7
+    pem = f"-----BEGIN PRIVATE KEY-----{'A' * 5000}{tail}-----END"
+    assert scanned([pem]) == [["A" * 5000 + tail]]
+    assert scanned([f'token = "{"A1" * 5000}"']) == [[]]
+
+
 def test_values_of_punctuation_end():
     rng = random.Random(3)
     texts = ["token: " + "".join(rng.choice("ab1 .,;:=\"'`()[]{}\\\n-$<>/") for _ in range(60)) for _ in range(3000)] + ["token: ...", "key = .'.", "token:"]

@@ -25,7 +25,9 @@ CONTEXT = 64
 NOVELTY, PLAIN, LEAST = 0.55, 0.9, 8
 #: Share of what a random string over the candidate's alphabet needs that is enough, where that is less than NOVELTY or LEAST.
 RANDOM = 0.65
-SHORT, LONG, LONGEST = 8, 16, 4096
+SHORT, LONG = 8, 16
+#: A candidate longer than AT_ONCE is measured in pieces of at most PIECE bytes, of which the most novel decides.
+AT_ONCE, PIECE = 4096, 512
 MASK = "[REDACTED]"
 
 CREDENTIAL = np.zeros(256, bool)
@@ -89,6 +91,7 @@ class Found(NamedTuple):
     end: int
     context: str
     marginal: int
+    novelty: float
 
 
 def _compressor() -> zstandard.ZstdCompressor:
@@ -98,9 +101,18 @@ def _compressor() -> zstandard.ZstdCompressor:
 
 def marginal_bytes(compressor: zstandard.ZstdCompressor, text: bytes, start: int, end: int) -> int:
     """Compressed bytes that text[start:end] adds to its surroundings, in which it doesn't occur itself."""
+    return sum(cost for _, cost in marginal_pieces(compressor, text, start, end))
+
+
+def marginal_pieces(compressor: zstandard.ZstdCompressor, text: bytes, start: int, end: int) -> list[tuple[bytes, int]]:
+    """text[start:end], or its pieces if it is longer than AT_ONCE, with the compressed bytes that each adds to the surroundings of the whole."""
     candidate = text[start:end]
     around = text[max(0, start - WINDOW) : start].replace(candidate, b"") + b"\n" + text[end : end + WINDOW].replace(candidate, b"") + b"\n"
-    return len(compressor.compress(around + candidate)) - len(compressor.compress(around))
+    plain = len(compressor.compress(around))
+    n = len(candidate)
+    many = -(-n // PIECE) if n > AT_ONCE else 1
+    pieces = [candidate[n * k // many : n * (k + 1) // many] for k in range(many)]
+    return [(p, len(compressor.compress(around + p)) - plain) for p in pieces]
 
 
 def enough(candidate: bytes) -> float:
@@ -248,13 +260,18 @@ def assignments(text: bytes) -> list[tuple[int, int, bytes, list[tuple[int, int]
     return out
 
 
+def _found(start: int, end: int, context: str, pieces: list[tuple[bytes, int]]) -> Found:
+    return Found(start, end, context, sum(cost for _, cost in pieces), max(cost / len(p) for p, cost in pieces))
+
+
 def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstandard.ZstdCompressor) -> list[Found]:
     """The secrets among the candidate spans of a text, and its private keys. What is reported never overlaps."""
     found: list[Found] = []
     if b"PRIVATE KEY-----" in text:
         for m in PEM.finditer(text):
-            if len(text) and (cost := marginal_bytes(compressor, text, m.start(1), min(m.end(1), m.start(1) + LONGEST))) >= LEAST:
-                found.append(Found(m.start(1), m.end(1), "private key", cost))
+            pieces = marginal_pieces(compressor, text, m.start(1), m.end(1))
+            if max(cost for _, cost in pieces) >= LEAST:
+                found.append(_found(m.start(1), m.end(1), "private key", pieces))
     taken = [(f.start, f.end) for f in found]
     assigned = assignments(text)
     values = [v for a in assigned for v in a[3]]
@@ -283,9 +300,9 @@ def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstanda
                 context = words[-1].group(0).decode().lower()
         if not context:
             continue
-        cost = marginal_bytes(compressor, text, s, min(e, s + LONGEST))
-        if cost >= enough(candidate[:LONGEST]):
-            found.append(Found(s, e, context, cost))
+        pieces = marginal_pieces(compressor, text, s, e)
+        if any(cost >= enough(p) for p, cost in pieces):
+            found.append(_found(s, e, context, pieces))
             insort(taken, (s, e))
     return sorted(found)
 
@@ -325,7 +342,7 @@ def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 value = text[f.start : f.end].decode()
                 start = len(text[: f.start].decode())
                 length = f.end - f.start
-                rows.append((ids[row].as_py(), start, start + len(value), f.context, length, f.marginal, round(f.marginal / min(length, LONGEST), 6), value[:4] + "*" * 4))
+                rows.append((ids[row].as_py(), start, start + len(value), f.context, length, f.marginal, round(f.novelty, 6), value[:4] + "*" * 4))
         if rows:
             columns = list(zip(*rows))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
@@ -334,7 +351,7 @@ def _reports(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """One row per secret: doc_id, start and end (characters of the text, half-open), context, length in bytes,
-    marginal_bytes, novelty (marginal bytes per byte) and a preview that doesn't give the secret away.
+    marginal_bytes, novelty (marginal bytes per byte, of the most novel piece) and a preview that doesn't give the secret away.
 
     docs: needs doc_id and text. A candidate is a run of credential characters with a digit, of 16 bytes at least, or one of 8
     that is assigned (after = or :), or, in what a sensitive name is assigned, a value of 8 bytes whatever characters it has: of
@@ -346,7 +363,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     candidate adds are its marginal bytes. It is reported from NOVELTY bytes per byte (PLAIN if it has no digit)
     and LEAST bytes in all, or, if that is less and it has a digit, from RANDOM of the bytes that a random string over its
     alphabet (digits, hex, base32, letters with digits, base64) needs; under LONG bytes, LEAST bytes in all hold in any case. A string
-    that the dictionary holds as it is never is.
+    that the dictionary holds as it is never is. What is longer than AT_ONCE is measured in pieces; one that is enough reports the whole.
 
     Null and empty texts have none. Null ids are reported as null; equal rows are reported each. Other columns aren't read.
     """
