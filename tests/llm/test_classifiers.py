@@ -53,6 +53,23 @@ def test_views_teach_each_other():
     assert Q.co_train(text, meta, np.where(known == 1, 1.0, -1.0), fold) is None
 
 
+def test_every_unlabelled_document_may_be_lent(docs_of, spark):
+    """Of many documents of a hot source and five of a small one, the small one's are lent too; labelled ones never are."""
+    rows = [(k, f"text {k} of it", "hot") for k in range(9000)] + [(9000 + k, f"other {k}", "small") for k in range(5)]
+    docs = docs_of(rows)
+    known = spark.createDataFrame([(k, 1) for k in range(3000)] + [(9000, 1)], "doc_id long, quality long")
+    views = [Q.View(np.zeros(n), np.ones(n), np.zeros(n), 5.0) for n in (Q.N_TEXT, Q.N_META)]
+    keys = {r.key: r.doc_id for r in Q._keyed(docs).select("key", "doc_id").collect()}
+    none = np.zeros(0, np.int64)
+    got = Q.surest(docs, known, views, [none, none], [10, 20, 10, 20])
+    assert sorted(got) == [1, 3] and all(len(v) == 20 for v in got.values())
+    for v in got.values():
+        ids = {keys[k] for k in v}
+        assert {9001, 9002, 9003, 9004} <= ids and not ids & {9000, *range(3000)}
+    again = Q.surest(docs, known, views, [np.array(got[3]), none], [10, 20, 10, 20])
+    assert again[1] == got[1] and not set(again[3]) & set(got[3])
+
+
 def test_quality_of_odd_rows(docs_of, spark):
     docs = docs_of([(1, "a b c"), (1, "a b c"), (None, "x"), (2, None), (3, ""), (4, "word " * 100_000)], quality=F.lit(5), P_TEXT=F.lit(1))
     rows = [(k, k % 2, 0) for k in range(1, 5)] + [(None, 1, 0), (1, 0, 0), (2, 7, None)]

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timeweave.llm.common import small_batches, written
 from timeweave.llm.textbatch import WHITE, spans_sum, texts, words
 
-#: Labelled documents and unlabelled ones that a fit reads at most, about; both are drawn by a hash of doc_id.
-MAX_LABELLED, MAX_POOL = 4000, 4000
-#: Rounds of co-training; share of the pool that a view may label in a round; probability from which it is sure.
+#: Labelled documents that a fit learns from at most, about, drawn by a hash of doc_id, and documents that a view may label in a round.
+MAX_LABELLED, MAX_LENT = 4000, 400
+#: Rounds of co-training; share of the unlabelled documents that a view may label in a round; probability from which it is sure.
 ROUNDS, SHARE, SURE = 5, 0.05, 0.95
 #: Documents of lower combined probability are rejected.
 THRESHOLD = 0.5
@@ -164,20 +166,11 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray
     most, and the other view learns from them. None if the rows to learn from or those to calibrate by lack a class.
     """
     held, learn, pool = (y >= 0) & fold, (y >= 0) & ~fold, y < 0
-    if min(y[learn].sum() if learn.any() else 0, (1 - y[learn]).sum() if learn.any() else 0, y[held].sum() if held.any() else 0, (1 - y[held]).sum() if held.any() else 0) < 1:
-        return None
-    share = float(y[learn].mean())
     lent = [np.full(len(y), -1.0), np.full(len(y), -1.0)]  # labels that view 0 and view 1 were given
-    views: list[View] = []
     x = (text, meta)
-    for r in range(rounds + 1):
-        views = []
-        for k in (0, 1):
-            rows = learn | (lent[k] >= 0)
-            views.append(calibrated(logistic(x[k][rows], np.where(learn, y, lent[k])[rows]), x[k][held], y[held]))
-        if r == rounds or not pool.any():
-            break
-        given = 0
+
+    def lend(views: list[View], share: float) -> list[Lent]:
+        out = []
         for k in (0, 1):
             p = sigmoid(views[k].logit(x[k]))
             free = pool & (lent[1 - k] < 0)
@@ -185,10 +178,39 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray
                 rows = np.flatnonzero(free & (sure >= SURE))
                 rows = rows[np.argsort(-sure[rows], kind="stable")][: max(1, int(pool.sum() * SHARE * most))]
                 lent[1 - k][rows] = label
-                given += len(rows)
+                out.append(Lent(1 - k, label, x[1 - k][rows]))
+        return out
+
+    return taught((text[learn], meta[learn]), y[learn], (text[held], meta[held]), y[held], lend, rounds)
+
+
+class Lent(NamedTuple):
+    """Rows that the other view labels for `view`."""
+
+    view: int
+    label: float
+    rows: np.ndarray
+
+
+def taught(x: tuple, y: np.ndarray, held_x: tuple, held_y: np.ndarray, lend: Callable[[list[View], float], list[Lent]], rounds: int) -> Model | None:
+    """The model of labelled rows of both views, calibrated by held ones, and of what `lend` gives in each round for the
+    views so far and the share of good rows. None if the rows to learn from or those to calibrate by lack a class."""
+    if any(not len(v) or not 0 < v.sum() < len(v) for v in (y, held_y)):
+        return None
+    known = [[(x[k], y)] for k in (0, 1)]
+    for r in range(rounds + 1):
+        views = []
+        for k in (0, 1):
+            rows, labels = (np.concatenate(c) for c in zip(*known[k]))
+            views.append(calibrated(logistic(rows, labels), held_x[k], held_y))
+        if r == rounds:
+            break
+        given = [g for g in lend(views, float(y.mean())) if len(g.rows)]
         if not given:
             break
-    return Model(views[0], views[1], combined(views[0].logit(x[0][held]), views[1].logit(x[1][held]), y[held]))
+        for g in given:
+            known[g.view].append((g.rows, np.full(len(g.rows), g.label)))
+    return Model(views[0], views[1], combined(views[0].logit(held_x[0]), views[1].logit(held_x[1]), held_y))
 
 
 def combined(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
@@ -214,16 +236,70 @@ def _columns(docs: DataFrame) -> DataFrame:
 
 def _views(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, text, lang, source, n_chars, quality = batch.columns
+        ids, text, lang, source, n_chars, other = batch.columns
         x = text_view(text).astype(np.float16)
         m = meta_view(text, lang, source, n_chars)
-        yield pa.RecordBatch.from_arrays([ids, quality, pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["doc_id", "quality", "x", "m"])
+        yield pa.RecordBatch.from_arrays([ids, other, pa.array([r.tobytes() for r in x], pa.binary()), pa.array([r.tobytes() for r in m], pa.binary())], ["doc_id", "other", "x", "m"])
+
+
+def _arrays(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, N_TEXT).astype(np.float32)
+    return x, np.frombuffer(b"".join(rows["m"].to_pylist()), np.float32).reshape(-1, N_META)
+
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """The columns and a key of what is in them: equal documents, which have equal views, share one."""
+    return _columns(docs).withColumn("key", F.xxhash64("doc_id", "text", "lang", "source", "n_chars"))
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> Model | None:
-    """The model of a bounded sample of the documents, drawn by a hash of doc_id.
 
-    Null ids and labels other than 0 and 1 are left out, as are documents whose labels disagree. None: too few labels of a class.
+def _sure(views: list[View], lent: list[np.ndarray]):
+    """A row for each document and view that is sure of it: its number with the label (2 * view + label), and the logit's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = float(np.log(SURE / (1 - SURE)))
+        for batch in batches:
+            ids, key, places, *columns = batch.columns
+            keys = key.to_numpy()
+            for lo in range(0, batch.num_rows, 1024):
+                piece = [c.slice(lo, 1024) for c in columns]
+                for k, rows in enumerate((text_view(piece[0]), meta_view(*piece))):
+                    logit = views[k].logit(rows)
+                    at = np.flatnonzero((np.abs(logit) >= least) & ~np.isin(keys[lo : lo + 1024], lent[1 - k]))
+                    take = pa.array(at + lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [ids.take(take), key.take(take), places.take(take), pa.array((2 * k + (logit[at] > 0)).astype(np.int32)), pa.array(np.abs(logit[at]))],
+                        ["doc_id", "key", "place", "label", "sure"],
+                    )
+
+    return run
+
+
+def surest(docs: DataFrame, known: DataFrame, views: list[View], lent: list[np.ndarray], most: list[int]) -> dict[int, list[int]]:
+    """Keys of the documents without a label that each view is surest of, for each label (2 * view + label), `most` of that label at most.
+
+    Every document is scored. Sources and languages take turns: the surest of each before the second of any. lent: keys that view 0
+    and view 1 were given before.
+    """
+    rows = _keyed(docs).select("doc_id", "key", F.xxhash64("source", "lang").alias("place"), "text", "lang", "source", "n_chars")
+    scored = rows.mapInArrow(_sure(views, lent), "doc_id long, key long, place long, label int, sure double")
+    free = scored.join(known.select("doc_id"), "doc_id", "left_anti")
+    turn = F.row_number().over(W.partitionBy("label", "place").orderBy(F.desc("sure"), "key"))
+    first = free.withColumn("turn", turn).filter(F.col("turn") <= max(most))
+    rank = F.row_number().over(W.partitionBy("label").orderBy("turn", F.desc("sure"), "key"))
+    out: dict[int, list[int]] = {}
+    for r in first.withColumn("rank", rank).filter(F.col("rank") <= max(most)).orderBy("label", "rank").select("label", "key", "rank").collect():
+        if r["rank"] <= most[r.label]:
+            out.setdefault(r.label, []).append(r.key)
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lent: int = MAX_LENT) -> Model | None:
+    """The model of a bounded sample of the labelled documents, drawn by a hash of doc_id, and of all documents without a label.
+
+    In each round both views score every unlabelled document and label those they are surest of for each other, max_lent and
+    SHARE of them at most, in the classes' proportions. Null ids and labels other than 0 and 1 are left out, as are documents
+    whose labels disagree; those count as unlabelled, and so do documents without an id. Labelled documents that aren't drawn
+    take no part. None: too few labels of a class.
     """
     known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
     known = written(known.select("doc_id", F.col("quality").cast("long").alias("quality")), "quality-labels")
@@ -231,18 +307,33 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     if not n_known or not n_docs:
         return None
     draw = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    other = F.pmod(F.xxhash64("doc_id", F.lit(18)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = known.filter(draw < max_labelled / n_known)  # about max_labelled rows: small whatever the input
-    sample = _columns(docs).join(F.broadcast(chosen), "doc_id", "left").filter((other < max_pool / max(n_docs - n_known, max_pool)) | F.col("quality").isNotNull())
-    kept = written(sample.select("doc_id", "text", "lang", "source", "n_chars", "quality").mapInArrow(_views, "doc_id long, quality long, x binary, m binary"), "quality-sample")
-    rows = kept.toArrow().sort_by([("doc_id", "ascending")])
+    sample = _columns(docs).join(F.broadcast(chosen), "doc_id")
+    wide = "doc_id long, other long, x binary, m binary"
+    rows = written(sample.select("doc_id", "text", "lang", "source", "n_chars", "quality").mapInArrow(_views, wide), "quality-sample").toArrow().sort_by([("doc_id", "ascending")])
     if not rows.num_rows:
         return None
-    x = np.frombuffer(b"".join(rows["x"].to_pylist()), np.float16).reshape(-1, N_TEXT).astype(np.float32)
-    m = np.frombuffer(b"".join(rows["m"].to_pylist()), np.float32).reshape(-1, N_META)
-    y = rows["quality"].cast(pa.float64()).fill_null(-1).to_numpy()
-    fold = np.array([zlib.crc32(b"fold%d" % (i or 0)) % 4 == 0 for i in rows["doc_id"].to_pylist()])
-    return co_train(x, m, y, fold)
+    x = _arrays(rows)
+    y = rows["other"].cast(pa.float64()).to_numpy()
+    fold = np.array([zlib.crc32(b"fold%d" % i) % 4 == 0 for i in rows["doc_id"].to_pylist()])
+    lent = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+    n_pool = max(n_docs - n_known, 1)
+
+    def lend(views: list[View], share: float) -> list[Lent]:
+        room = min(max_lent, n_pool * SHARE)
+        keys = surest(docs, known, views, lent, [max(1, int(room * s)) for s in (1 - share, share)] * 2)
+        picked = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for v in keys.values() for k in v})], "key long")
+        found = _keyed(docs).join(F.broadcast(picked), "key").select("doc_id", "text", "lang", "source", "n_chars", "key")
+        rows = found.dropDuplicates(["key"]).mapInArrow(_views, wide).toArrow()
+        both, at = _arrays(rows), {k: i for i, k in enumerate(rows["other"].to_pylist())}
+        out = []
+        for label, chosen_keys in sorted(keys.items()):
+            k = 1 - label // 2
+            lent[k] = np.union1d(lent[k], np.array(chosen_keys, np.int64))
+            out.append(Lent(k, float(label % 2), both[k][[at[key] for key in dict.fromkeys(chosen_keys)]]))
+        return out
+
+    return taught((x[0][~fold], x[1][~fold]), y[~fold], (x[0][fold], x[1][fold]), y[fold], lend, ROUNDS)
 
 
 SCHEMA = "doc_id long, p_text double, p_meta double, quality_score double, keep boolean"
