@@ -84,6 +84,35 @@ def test_violations(spark):
     assert rows(got, "beg") == [(-1,), (0,), (5,)]
 
 
+def test_retime_in_seconds_keeps_what_is_not_touched(spark):
+    """24000/1001 frames a second: no duration is rounded; a frame that is cut, by one change or by two that meet, is 0 exactly."""
+    d = 1001 / 24000
+    n = 2400
+    none = rt.retime(frames(spark, [d] * n), changes(spark, [(5000.0, 6000.0, 0.0)]))
+    assert {r.dst for r in none.collect()} == {d}
+    ends = [0.0]
+    for _ in range(n):
+        ends.append(ends[-1] + d)
+    middle = (ends[40] + ends[41]) / 2
+    cut = rt.retime(frames(spark, [d] * n), changes(spark, [(ends[10], ends[20], 0.0), (ends[40], middle, 0.0), (middle, ends[41], 0.0), (ends[50], float("inf"), 0.5)]))
+    got = [r.dst for r in cut.orderBy("frame").collect()]
+    assert got[:10] == [d] * 10 and got[10:20] == [0.0] * 10 and got[20:40] == [d] * 20 and got[40] == 0.0 and got[41:50] == [d] * 9 and got[50:] == [d / 2] * (n - 50)
+
+
+def test_retime_against_a_loop(spark):
+    """Random frames and changes, several of which lie within a frame, against each frame's overlaps added up."""
+    rng = np.random.default_rng(7)
+    for _ in range(4):
+        sizes = rng.exponential(1, 40).tolist()
+        at = np.sort(rng.uniform(0, sum(sizes) * 1.1, 60))
+        given = [(float(a), float(b), float(rng.choice([0, 0.5, 2]))) for a, b in zip(at[::2], at[1::2])]
+        got = [r.dst for r in rt.retime(frames(spark, sizes), changes(spark, given)).orderBy("frame").collect()]
+        end = np.cumsum(sizes)
+        want = [s + sum((max(min(e, f) - max(e - s, b), 0)) * (m - 1) for b, f, m in given) for s, e in zip(sizes, end)]
+        assert got == pytest.approx(want, abs=1e-9)
+        assert all(g == s for g, s, e in zip(got, sizes, end) if not any(b < e and f > e - s for b, f, _ in given))
+
+
 def test_retime_vector(spark):
     got = rt.retime(frames(spark, [1, 1, 1, 1]), changes(spark, [(0.5, 2, 0.5)]))
     assert rows(got, "frame", "dst") == [(0, 0.75), (1, 0.5), (2, 1), (3, 1)]

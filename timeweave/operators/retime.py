@@ -45,27 +45,38 @@ def frame_durations(packets: DataFrame, by: str = "rec", pts: str = "pts") -> Da
 
 
 def bounds(frames: DataFrame, by: str = "rec", dur: str = "src") -> DataFrame:
-    """frames with fr_beg and fr_end, where each begins and ends."""
-    return frames.withColumn("fr_end", F.sum(dur).over(W.partitionBy(by).orderBy("frame"))).withColumn("fr_beg", F.col("fr_end") - F.col(dur))
+    """frames with fr_end and fr_beg, where each ends and begins: a frame begins at the very number at which the one before ends."""
+    w = W.partitionBy(by).orderBy("frame")
+    return frames.withColumn("fr_end", F.sum(dur).over(w)).withColumn("fr_beg", F.coalesce(F.lag("fr_end").over(w), F.lit(0.0)))
 
 
 def retime(frames: DataFrame, changes: DataFrame, by: str = "rec") -> DataFrame:
     """frames (by, frame, src) with fr_beg, fr_end and dst, the duration after the changes (by, beg, fin, multi; disjoint).
 
-    The changes make a piecewise linear map of time. What they add up to a point is looked up at the frames' ends in one
-    sorted pass per recording, so no frame is paired with a change: a long change costs no more than a short one. Rounded
-    to a thousandth of the unit, so that a frame that is cut entirely has 0 exactly.
+    The change before each frame's end is looked up in one sorted pass per recording, and that before its beginning is what the
+    frame before found: no frame is paired with a change, and a long change costs no more than a short one. In any unit, a frame
+    that no change touches keeps src as it is, and one that a change covers lasts src * multi. What several changes
+    leave of a frame counts as 0 where it is less than doubles can tell from the frame's place.
     """
     w = W.partitionBy(by).orderBy("beg")
     known = changes.filter(F.col("beg") < F.col("fin")).withColumn("whole", (F.col("fin") - F.col("beg")) * (F.col("multi") - 1))
-    known = known.withColumn("before", F.coalesce(F.sum("whole").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    known = known.withColumn("before", F.coalesce(F.sum("whole").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))).withColumn("n", F.row_number().over(w))
     timed = bounds(frames, by)
-    at = as_of(timed, known, by, F.col("fr_end"), F.col("beg").cast("double"), F.struct("beg", "fin", "multi", "before"), "tw_c")
-    c = F.col("tw_c")
-    shift = F.coalesce(c["before"] + (F.least(F.col("fr_end"), c["fin"]) - c["beg"]) * (c["multi"] - 1), F.lit(0.0))
-    at = at.withColumn("tw_shift", shift)
-    moved = F.col("tw_shift") - F.coalesce(F.lag("tw_shift").over(W.partitionBy(by).orderBy("frame")), F.lit(0.0))
-    return at.withColumn("dst", F.round(F.col("src") + moved, 3)).drop("tw_c", "tw_shift")
+    at = as_of(timed, known, by, F.col("fr_end"), F.col("beg").cast("double"), F.struct("beg", "fin", "multi", "whole", "before", "n"), "tw_c")
+    at = at.withColumn("tw_p", F.lag("tw_c").over(W.partitionBy(by).orderBy("frame")))
+    c, p, beg, end, src = F.col("tw_c"), F.col("tw_p"), F.col("fr_beg"), F.col("fr_end"), F.col("src")
+    earlier = F.coalesce(p["n"], F.lit(0))
+    rest = lambda x: x["multi"] - 1
+    covered = lambda x: (x["beg"] <= beg) & (x["fin"] >= end)
+    before = F.when(p["fin"] > beg, (F.least(p["fin"], end) - beg) * rest(p)).otherwise(0.0)
+    between = F.when(c["n"] > earlier + 1, c["before"] - F.coalesce(p["before"] + p["whole"], F.lit(0.0))).otherwise(0.0)
+    last = F.when(c["n"] > earlier, (F.least(c["fin"], end) - F.greatest(c["beg"], beg)) * rest(c)).otherwise(0.0)
+    left = src + F.coalesce(before, F.lit(0.0)) + between + last
+    counted = F.when(F.abs(left) <= F.abs(end) * 2.0**-48, 0.0).otherwise(left)
+    over = F.coalesce(p["fin"] <= beg, F.lit(True))  # what came before the frame has ended
+    untouched = over & (c.isNull() | (c["n"] == earlier) | ((c["n"] == earlier + 1) & (c["beg"] >= end)))
+    dst = F.when(untouched, src).when(covered(c), src * c["multi"]).when(covered(p), src * p["multi"]).otherwise(counted)
+    return at.withColumn("dst", dst).drop("tw_c", "tw_p")
 
 
 def trim_tail(retimed: DataFrame, changes: DataFrame, by: str = "rec") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -146,6 +148,14 @@ def retime_frames(s, d):
     return retimed(s, d).select(BY, F.col("frame").cast("long").alias("frame"), F.col("src").alias("src_us"), F.col("dst").alias("dst_us"))
 
 
+def retime_seconds(s, d):
+    """The same in seconds, where nothing is a whole number: what no change touches stays as it is, what is cut is 0."""
+    second = lambda c: rt.seconds(F.col(c), Fraction(1, PER_SECOND))
+    ch = changes(s, d, "purchase", "signup").withColumn("beg", second("beg")).withColumn("fin", second("fin"))
+    out = rt.retime(timed(s, d).withColumn("src", second("src")), ch, BY)
+    return out.select(BY, F.col("frame").cast("long").alias("frame"), F.round("src", 7).alias("src_s"), F.round("dst", 7).alias("dst_s"), (F.col("dst") == F.col("src")).alias("same"), (F.col("dst") == 0).alias("cut"))
+
+
 def tail_trim(s, d):
     ch = iv.combine(tail_changes(s, d), changes(s, d, "purchase", "signup"), BY)
     return rt.trim_tail(rt.retime(timed(s, d), ch, BY), ch, BY).groupBy(BY).agg(F.count("*").alias("n_frames"), F.sum("dst").alias("dst_us"))
@@ -279,6 +289,7 @@ QUERIES = {
     "combine_priority_fold": (combine_priority_fold, f"WITH {PAIR}, {changes_sql('v', 'view')}, {overlay_sql('c2', 'c1', 'v')} SELECT * FROM c2"),
     "frame_durations": (frame_durations, f"WITH {E}, {DURATIONS} SELECT user_id, frame::BIGINT AS frame, round(src, 2) AS dur_us, virtual FROM fd"),
     "retime_frames": (retime_frames, f"WITH {RETIMED} SELECT user_id, frame::BIGINT AS frame, src AS src_us, dst AS dst_us FROM rt"),
+    "retime_seconds": (retime_seconds, f"WITH {RETIMED} SELECT user_id, frame::BIGINT AS frame, round(src / {PER_SECOND}::DOUBLE, 7) AS src_s, round(dst / {PER_SECOND}::DOUBLE, 7) AS dst_s, dst = src AS same, dst = 0 AS cut FROM rt"),
     "tail_trim": (tail_trim, f"WITH {E}, {CH}, {TAIL}, {overlay_sql('cc', 'tail', 'ch')}, {DURATIONS}, {BOUNDS}, {retime_sql('cc')}, z AS (SELECT user_id, max(fe) AS e FROM rt GROUP BY user_id), k AS (SELECT rt.user_id, min(frame) AS cut FROM rt JOIN z USING (user_id) JOIN cc c ON c.user_id = rt.user_id AND c.fin >= z.e AND rt.fe > c.beg WHERE rt.dst = 0 GROUP BY rt.user_id) SELECT user_id, count(*) AS n_frames, sum(dst) AS dst_us FROM rt LEFT JOIN k USING (user_id) WHERE cut IS NULL OR frame < cut GROUP BY user_id"),
     "output_pts": (output_pts, f"WITH {RETIMED} SELECT user_id, frame::BIGINT AS frame, pts FROM (SELECT *, sum(dst) OVER (PARTITION BY user_id ORDER BY frame) - dst AS pts FROM rt) WHERE dst > 0"),
     "fps_constrain": (fps_constrain, FPS),
