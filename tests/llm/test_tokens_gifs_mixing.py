@@ -25,6 +25,36 @@ def test_bits_round_trip(vocabulary, bits):
         T.pack(np.array([1 << bits]), bits)
 
 
+def test_ids_of_long_white_space_are_the_plain_encoder_s(monkeypatch):
+    """Runs that the plain encoder survives: split here or there, the ids are the same."""
+    plain, whole = T.encoder(), T.whole_encoder()
+    rng = np.random.default_rng(0)
+    for run in (1 << 16, 70_001, 300_000):
+        for white in (" ", "\n", "\t", "\u3000", " \n"):
+            for before, after in (("", ""), ("x", "y"), ("it's", " 12"), ("x", "")):
+                text = before + white * run + after
+                assert whole(text) == plain.encode_ordinary(text)
+    monkeypatch.setattr(T, "LONG_RUN", 3)
+    short = T.whole_encoder()
+    alphabet = list("ab'st 1#é漢 \n\t ")
+    for _ in range(2000):
+        text = "".join(rng.choice(alphabet, 40)) + " " * int(rng.integers(0, 6)) + "end"
+        assert short(text) == plain.encode_ordinary(text)
+
+
+def test_no_text_is_too_long(docs_of):
+    """Through Spark: five million blanks, letters, words, and a few more that repeat one character."""
+    texts = ["x" + " " * 5_000_000, " " * 5_000_000 + "x", "\n" * 2_000_000, "a" * 5_000_000, "word " * 1_000_000, "#" * 2_000_000]
+    got = {r.doc_id: r for r in T.token_ids(docs_of(texts)).collect()}
+    plain = T.encoder()
+    for k in (3, 4, 5):
+        ids = np.array(plain.encode_ordinary(texts[k]))
+        assert got[k].n_tokens == len(ids) and np.array_equal(T.unpack(got[k].packed, len(ids), got[k].bits, got[k].block_size), ids)
+    for k in (0, 1, 2):
+        ids = T.unpack(got[k].packed, got[k].n_tokens, got[k].bits, got[k].block_size)
+        assert plain.decode(ids.tolist()) == texts[k]
+
+
 def test_token_ids_round_trip(docs_of, spark):
     texts = ["Hello, world!", "", None, "naïve café 日本語 <|endoftext|>", "x" * 5000, "word " * 30_000, "Hello, world!"]
     docs = docs_of([(k if k else None, t) for k, t in enumerate(texts)], bits=F.lit("clash"), PACKED=F.lit(1))

@@ -19,6 +19,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARY = 50257
 #: Ids in a block; each block begins at a byte.
 BLOCK = 1024
+#: White space in a row from which the text is split here: the tokenizer's own splitter gives up beyond a million.
+LONG_RUN = 1 << 16
 SCHEMA = "doc_id long, n_tokens long, bits int, block_size int, block_offsets array<long>, packed binary"
 
 
@@ -75,11 +77,30 @@ def encoder(ranks: str = RANKS, pattern: str = PATTERN):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
 
+def whole_encoder(ranks: str = RANKS, pattern: str = PATTERN):
+    """A function from a text of any length to its ids, those of `encoder`.
+
+    The tokenizer splits a text by a pattern that looks back over runs of white space and ends with a panic on very long ones.
+    Texts with such a run are split by the same pattern here, and the pieces encoded one by one.
+    """
+    import regex
+
+    own = encoder(ranks, pattern)
+    splitter, run = regex.compile(pattern), regex.compile(r"\s{%d}" % LONG_RUN)
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN or not run.search(text):
+            return own.encode_ordinary(text)
+        return [i for piece in splitter.finditer(text) for i in own._encode_single_piece(piece[0])]
+
+    return encode
+
+
 def _packed_batches(ranks: str, pattern: str, bits: int, block: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = None
         for batch in batches:
-            encode = encode or encoder(ranks, pattern).encode_ordinary
+            encode = encode or whole_encoder(ranks, pattern)
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 counts, offsets, blobs = [], [], []
@@ -104,7 +125,7 @@ def token_ids(docs: DataFrame, ranks: str = RANKS, pattern: str = PATTERN, vocab
 
     docs: needs doc_id and text. ranks: the path of a rank file that every executor can read. Block k holds ids
     k*block_size up to (k+1)*block_size in bytes block_offsets[k] up to block_offsets[k+1]; `unpack` reads any range.
-    A null text is as an empty one: no ids, no blocks, empty bytes. Null ids stay null, equal rows are packed each.
+    A null text is as an empty one: no ids, no blocks, empty bytes. A text may be of any length and have any run of characters. Null ids stay null, equal rows are packed each.
     Other columns aren't read. An empty table gives an empty one.
     """
     narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
