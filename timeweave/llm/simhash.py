@@ -1,9 +1,10 @@
-"""SimHash near-duplicates: fingerprints split into blocks, joined on blocks, verified by Hamming distance."""
+"""SimHash near-duplicates: fingerprints split into blocks that close pairs must share, joined on blocks, verified by Hamming distance."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,46 +19,82 @@ from timeweave.llm.textbatch import ALNUM, U, mixed, texts, words
 
 BITS = 256
 #: Documents are near duplicates up to this Hamming distance.
-DISTANCE = 45
-#: Orders of the bits; each is cut into blocks of `block_bits` bits.
-ORDERS = 4
+DISTANCE = 26
+#: Bits of a block at least; members of a bucket by chance, as a power of 2, from which blocks are made wider.
+NARROW, CROWD = 16, 5
+#: Bytes of records in a part of the join. Buckets of more than ROWS records are salted; they are found in a sample of about SAMPLE
+#: fingerprints, in which they occur SEEN times at least.
+PART_BYTES, ROWS, SAMPLE, SEEN = 1 << 25, 1 << 17, 1 << 18, 64
+#: Buckets up to this size are compared all at once.
+SMALL = 24
 LANES = [U(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
 
 
-def block_bits(n: int) -> int:
-    """20 bits a block up to 2**24 fingerprints, then as many as keep the chance of a collision per fingerprint."""
-    return min(32, max(20, math.ceil(math.log2(max(n, 1))) - 4))
+class Blocks(NamedTuple):
+    """The bits of each block (block, bit); a pair within the distance agrees on all bits of at least one."""
 
+    masks: np.ndarray
+    bits: int  # of the narrowest
 
-def orders_for(bits: int, distance: float = 0.13, recall: float = 0.95) -> int:
-    """Orders of the bits so that a pair at that share of differing bits meets in a block with that probability.
 
-    By independence of blocks; at least ORDERS."""
-    meets = (1 - distance) ** bits
-    return max(ORDERS, math.ceil(math.log(1 - recall) / math.log(1 - meets) / (BITS // bits)))
+def pigeonhole(groups: int, distance: int, bits: int = BITS) -> Blocks:
+    """Blocks that every pair of fingerprints within `distance` shares one of.
 
-
-def fingerprints(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """One row of four 64-bit words for each document, from the hashes of its different words; starts: where each begins."""
+    The bits fall into groups; of so many different bits, one group has at most e = distance // groups. Within a group each bit has
+    a vector of e + 1 binary digits, and each block, one per vector but 0, has the bits whose product with its vector is odd. The vectors
+    of e bits leave a direction that is at right angles to all of them: its block has none of these bits.
+    """
+    wide = distance // groups + 1
+    digits = lambda v: v[:, None] >> np.arange(wide) & 1
+    vectors = digits(np.arange(1, 1 << wide))
+    rng = np.random.default_rng(11)
+    order, out = rng.permutation(bits), []
+    for g in range(groups):
+        own = order[bits * g // groups : bits * (g + 1) // groups]
+        tried = [(vectors @ vectors[rng.permutation(len(vectors))[np.arange(len(own)) % len(vectors)]].T) % 2 == 1 for _ in range(100)]
+        masks = np.zeros((len(vectors), bits), bool)
+        masks[:, own] = max(tried, key=lambda m: m.sum(axis=1).min())  # the narrowest block decides
+        out.append(masks)
+    masks = np.concatenate(out)
+    return Blocks(masks, int(masks.sum(axis=1).min()))
+
+
+def blocks_for(n: int, distance: int = DISTANCE) -> Blocks:
+    """For n fingerprints: the fewest blocks that are wide enough. All choices find the same pairs, at different costs."""
+    best = None
+    for groups in range(1, distance + 2):
+        if 1 << distance // groups > 256:  # thousands of blocks
+            continue
+        count = groups * ((1 << distance // groups + 1) - 1)
+        bits = BITS / groups * (1 << distance // groups) / ((1 << distance // groups + 1) - 1)
+        enough = bits >= max(NARROW, math.log2(max(n, 2)) - CROWD)
+        rank = (not enough, count if enough else -bits)
+        if best is None or rank < best[0]:
+            best = (rank, groups)
+    return pigeonhole(best[1], distance)
+
+
+def fingerprints(data: np.ndarray, weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """One row of four 64-bit words for each document, from the hashes of its different words and their weights; starts: where each begins."""
     out = np.zeros((len(starts), BITS // 64), np.uint64)
     ends = np.r_[starts[1:], len(data)]
     lo = 0
     while lo < len(starts):  # a few thousand words at once, whose bits fit the cache
         hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + 4096, "right")))
-        piece = data[starts[lo] : ends[hi - 1]]
+        piece, w = data[starts[lo] : ends[hi - 1]], weights[starts[lo] : ends[hi - 1]]
+        at = starts[lo:hi] - starts[lo]
+        whole = np.add.reduceat(w, at)[:, None]
         for lane, salt in enumerate(LANES):
             bits = np.unpackbits(mixed(piece ^ salt).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            sums = _sums(bits, starts[lo:hi] - starts[lo])
-            n = (ends[lo:hi] - starts[lo:hi])[:, None]
-            out[lo:hi, lane] = np.packbits(2 * sums >= n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            sums = np.add.reduceat(bits * w[:, None], at, axis=0)
+            out[lo:hi, lane] = np.packbits(2 * sums >= whole, axis=1, bitorder="little").view(np.uint64)[:, 0]
         lo = hi
     return out
 
 
-def _sums(bits: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    if len(starts) == 1:
-        return bits.sum(axis=0, dtype=np.int32)[None]
-    return np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+def word_weights(count: np.ndarray) -> np.ndarray:
+    """log2(1 + count) in 32nds, as whole numbers: sums don't depend on the order of the words."""
+    return np.rint(32 * np.log2(1.0 + count)).astype(np.int32)
 
 
 def text_fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -69,11 +106,12 @@ def text_fingerprints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if len(w.hash):
             order = np.lexsort((w.hash, w.doc))
             h, d = w.hash[order], w.doc[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
+            new = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+            count = np.diff(np.r_[new, len(h)])
             h, d = h[new], d[new]
             starts = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
             rows.append(d[starts] + t.lo)
-            prints.append(fingerprints(h, starts))
+            prints.append(fingerprints(h, word_weights(count), starts))
     if not rows:
         return np.zeros(0, np.int64), np.zeros((0, BITS // 64), np.uint64)
     return np.concatenate(rows), np.concatenate(prints)
@@ -83,54 +121,113 @@ def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Recor
     for batch in batches:
         rows, prints = text_fingerprints(batch.column(1))
         if len(rows):
-            ids = batch.column(0).take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(prints[:, k].view(np.int64)) for k in range(BITS // 64))], ["doc_id", "f0", "f1", "f2", "f3"])
+            kept = pa.array(rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(kept), batch.column(2).take(kept), *(pa.array(prints[:, k].view(np.int64)) for k in range(BITS // 64))], ["doc_id", "said", *LONGS])
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """doc_id and f0..f3, the 256 bits, of each document that has an id and a word."""
-    narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return narrow.mapInArrow(_fingerprint_batches, "doc_id long, f0 long, f1 long, f2 long, f3 long")
+LONGS = ["f0", "f1", "f2", "f3"]
 
 
-def bit_orders(n: int) -> np.ndarray:
-    rng = np.random.default_rng(11)
-    return np.stack([rng.permutation(BITS) for _ in range(n)])
+def fingerprint(docs: DataFrame) -> DataFrame:
+    """doc_id, said (a hash of the text) and f0..f3, the 256 bits, of each row that has an id and a word."""
+    text = F.col("text").cast("string")
+    narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("said")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return narrow.mapInArrow(_fingerprint_batches, "doc_id long, said long, f0 long, f1 long, f2 long, f3 long")
 
 
-def block_keys(prints: np.ndarray, bits: int, orders: np.ndarray) -> np.ndarray:
+def block_keys(prints: np.ndarray, blocks: Blocks) -> np.ndarray:
     """A 64-bit key for each row and block: the block's number and its bits, mixed."""
-    raw = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")
-    per = BITS // bits
-    weights = (1 << np.arange(bits, dtype=np.int64)).astype(np.float64)
-    out = np.empty((len(prints), per * len(orders)), np.uint64)
-    for o, order in enumerate(orders):
-        blocks = raw[:, order[: per * bits]].reshape(len(prints), per, bits).astype(np.float32 if bits <= 24 else np.float64) @ weights.astype(np.float32 if bits <= 24 else np.float64)
-        number = (np.arange(per, dtype=np.uint64) + U(o * per)) << U(40)
-        out[:, o * per : (o + 1) * per] = mixed(blocks.astype(np.uint64) + number)
+    wide = np.packbits(blocks.masks, axis=1, bitorder="little").view(np.uint64)
+    out = np.empty((len(prints), len(wide)), np.uint64)
+    for k, mask in enumerate(wide):
+        h = np.full(len(prints), k + 1, np.uint64)
+        for lane in range(BITS // 64):
+            if mask[lane]:
+                h = mixed(h * U(0x9E3779B97F4A7C15) + (prints[:, lane] & mask[lane]))
+        out[:, k] = h
     return out
 
 
-def _spread(bits: int, orders: np.ndarray, n_parts: int):
-    """Packs (key, id, fingerprint) of all blocks by the part that a key belongs to: a row per part instead of one per key."""
+class Hot(NamedTuple):
+    """Keys of crowded buckets in order, with the number of cells that each is split into and a member's id and fingerprint."""
+
+    keys: np.ndarray
+    cells: np.ndarray
+    leader: np.ndarray
+    prints: np.ndarray
+
+
+def _matrix(batch: pa.RecordBatch, first: int = 1) -> np.ndarray:
+    return np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(first, first + 4)], axis=1).view(np.uint64)
+
+
+def crowded(nodes: DataFrame, blocks: Blocks, n: int, rows: int = ROWS) -> Hot | None:
+    """The keys that more than about `rows` of the n nodes have, counted in a bounded sample; a cell of one holds about that many.
+
+    At most SAMPLE * blocks / SEEN keys, whatever n."""
+    if n <= rows:
+        return None
+    one_in = max(1, n // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = block_keys(_matrix(batch), blocks)
+            row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(row) for c in batch.columns)], ["key", "node", *LONGS])
+
+    sample = nodes.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(one_in)) == 0).select("node", *LONGS)
+    keyed = sample.mapInArrow(run, "key long, node long, f0 long, f1 long, f2 long, f3 long")
+    least = max(2, min(SEEN, rows // one_in), -(-rows // one_in))
+    found = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("node", *LONGS), "node").alias("m")).filter(F.col("c") >= least)
+    t = found.select("key", "c", "m.*").toArrow()
+    if not t.num_rows:
+        return None
+    keys = t["key"].to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    prints = np.stack([t[c].to_numpy() for c in LONGS], axis=1).view(np.uint64)
+    return Hot(keys[order], -(-t["c"].to_numpy()[order] * one_in // rows), t["node"].to_numpy()[order], prints[order])
+
+
+def _cells(keys: np.ndarray, row: np.ndarray, ids: np.ndarray, prints: np.ndarray, hot: Hot, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and rows, crowded buckets split into cells. A row near the bucket's leader goes to one cell; the leader and the others
+    go to all. So two rows meet unless both are near the leader, who connects them."""
+    at = np.minimum(np.searchsorted(hot.keys, keys), len(hot.keys) - 1)
+    hit = np.flatnonzero(hot.keys[at] == keys)
+    if not len(hit):
+        return keys, row
+    at, who = at[hit], row[hit]
+    near = (np.bitwise_count(prints[who] ^ hot.prints[at]).sum(axis=1, dtype=np.int64) <= distance) & (ids[who] != hot.leader[at])
+    one = mixed(keys[hit] ^ mixed(ids[who].view(np.uint64))) % hot.cells[at].astype(np.uint64)
+    times = np.where(near, 1, hot.cells[at])
+    again = np.repeat(np.arange(len(hit)), times)
+    number = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+    cell = np.where(near[again], one[again].astype(np.int64), number)
+    rest = np.ones(len(keys), bool)
+    rest[hit] = False
+    return np.r_[keys[rest], mixed(keys[hit][again] + U(0x9E3779B97F4A7C15) * (cell.astype(np.uint64) + U(1)))], np.r_[row[rest], who[again]]
+
+
+def _spread(blocks: Blocks, n_parts: int, hot: Hot | None, distance: int):
+    """Packs (key, id, fingerprint) of all blocks by the part that a key belongs to, in order of the keys: a row per part instead of one per key."""
+    size = (1 << 64) // n_parts + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 piece = batch.slice(lo, 4096)
-                ids = piece.column(0).to_numpy(zero_copy_only=False)
-                prints = np.stack([piece.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], axis=1).view(np.uint64)
-                keys = block_keys(prints, bits, orders)
+                ids, prints = piece.column(0).to_numpy(zero_copy_only=False), _matrix(piece)
+                keys = block_keys(prints, blocks)
                 row = np.repeat(np.arange(len(ids)), keys.shape[1])
                 keys = keys.ravel()
-                part = (keys % U(n_parts)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                edge = np.searchsorted(part[order], np.arange(n_parts + 1))
+                if hot:
+                    keys, row = _cells(keys, row, ids, prints, hot, distance)
+                order = np.argsort(keys)
+                keys, row = keys[order], row[order]
+                edge = np.searchsorted(keys // U(size), np.arange(n_parts + 1, dtype=np.uint64))
                 record = np.empty((len(keys), 6), np.uint64)
-                record[:, 0], record[:, 1], record[:, 2:] = keys[order], ids.view(np.uint64)[row[order]], prints[row[order]]
+                record[:, 0], record[:, 1], record[:, 2:] = keys, ids.view(np.uint64)[row], prints[row]
                 full = np.flatnonzero(edge[1:] > edge[:-1])
-                blobs = [record[edge[p] : edge[p + 1]].tobytes() for p in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], ["part", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([record[edge[p] : edge[p + 1]].tobytes() for p in full], pa.binary())], ["part", "blob"])
 
     return run
 
@@ -153,29 +250,30 @@ def _union(parent: dict[int, int], a: int, b: int) -> None:
 def bucket_links(ids: np.ndarray, prints: np.ndarray, distance: int, parent: dict[int, int]) -> None:
     """Unites the members of one bucket that are within `distance`, so that what is connected by such pairs is connected.
 
-    Leaders absorb members near them, which needs no pair of absorbed ones; members of clusters that aren't connected yet
-    are then compared with each other, so that no close pair between clusters is lost.
+    A few leaders absorb members near them, which needs no pair of absorbed ones. All members outside of the largest cluster
+    are then compared with every member, in blocks, so that no close pair between clusters is lost.
     """
     left = np.arange(len(ids))
-    clusters: list[np.ndarray] = []
-    while len(left):
+    cluster = np.full(len(ids), -1)
+    for k in range(8):
+        if not len(left):
+            break
         near = np.bitwise_count(prints[left] ^ prints[left[0]]).sum(axis=1, dtype=np.int64) <= distance
-        clusters.append(left[near])
+        cluster[left[near]] = k
         for x in ids[left[near]][1:].tolist():
             _union(parent, int(ids[left[0]]), x)
         left = left[~near]
-    for i in range(len(clusters)):
-        for j in range(i):
-            a, b = clusters[i], clusters[j]
-            if _find(parent, int(ids[a[0]])) == _find(parent, int(ids[b[0]])):
-                continue
-            if len(a) > len(b):
-                a, b = b, a
-            for x in a:
-                near = np.bitwise_count(prints[b] ^ prints[x]).sum(axis=1, dtype=np.int64) <= distance
-                if near.any():
-                    _union(parent, int(ids[x]), int(ids[b[near][0]]))
-                    break
+    largest = np.bincount(cluster[cluster >= 0]).argmax()
+    outside = np.flatnonzero(cluster != largest)
+    step = max(1, (1 << 20) // len(ids))
+    for lo in range(0, len(outside), step):
+        rows = outside[lo : lo + step]
+        near = np.zeros((len(rows), len(ids)), np.uint16)
+        for lane in range(prints.shape[1]):
+            near += np.bitwise_count(prints[rows, lane][:, None] ^ prints[None, :, lane])
+        for a, b in zip(*np.nonzero(near <= distance)):
+            if rows[a] != b:
+                _union(parent, int(ids[rows[a]]), int(ids[b]))
 
 
 def part_edges(records: np.ndarray, distance: int) -> np.ndarray:
@@ -186,11 +284,21 @@ def part_edges(records: np.ndarray, distance: int) -> np.ndarray:
     size = np.diff(bounds)
     ids, prints = records[:, 1].view(np.int64), records[:, 2:]
     parent: dict[int, int] = {}
-    two = bounds[:-1][size == 2]
-    close = np.bitwise_count(prints[two] ^ prints[two + 1]).sum(axis=1, dtype=np.int64) <= distance
-    for a, b in zip(ids[two[close]].tolist(), ids[two[close] + 1].tolist()):
-        _union(parent, a, b)
-    for k in np.flatnonzero(size > 2):
+    left = np.repeat(np.where(size <= SMALL, bounds[1:], 0), size) - np.arange(len(keys))  # rows of the bucket from this one on
+    first, pairs = np.flatnonzero(left > 1), []
+    for ahead in range(1, SMALL):
+        first = first[left[first] > ahead]
+        if not len(first):
+            break
+        near = np.zeros(len(first), np.uint16)
+        for lane in range(prints.shape[1]):
+            near += np.bitwise_count(prints[first, lane] ^ prints[first + ahead, lane])
+        close = first[near <= distance]
+        pairs.append(np.sort(np.stack([ids[close], ids[close + ahead]], axis=1), axis=1))
+    if pairs:
+        for a, b in np.unique(np.concatenate(pairs), axis=0).tolist():
+            _union(parent, a, b)
+    for k in np.flatnonzero(size > SMALL):
         span = slice(bounds[k], bounds[k + 1])
         bucket_links(ids[span], prints[span], distance, parent)
     return np.array([(x, _find(parent, x)) for x in list(parent)], np.int64).reshape(-1, 2)
@@ -228,48 +336,60 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def classes(docs: DataFrame, distance: int = DISTANCE, rows: int = ROWS) -> DataFrame:
+    """doc_id, said (a hash of the text) and group, the same number for texts that pairs within `distance` connect, of every row with
+    an id and a word. rows: see ROWS."""
+    prints = written(fingerprint(docs), "simhash")
+    nodes = written(prints.select(*LONGS).distinct().withColumn("node", F.monotonically_increasing_id()), "simhash-nodes")
+    n = nodes.count()
+    blocks = blocks_for(n, distance)
+    n_parts = max(parts(docs.sparkSession), -(-n * len(blocks.masks) * 48 // PART_BYTES))
+    spread = nodes.select("node", *LONGS).mapInArrow(_spread(blocks, n_parts, crowded(nodes, blocks, n, rows), distance), "part int, blob binary")
+    edges = written(spread.repartition(n_parts, "part").groupBy("part").applyInPandas(_linked(distance), "u long, v long"), "simhash-edges")
+    roots = components(edges).withColumnRenamed("u", "node")
+    grouped = nodes.join(roots, "node", "left").select(*LONGS, F.coalesce("root", "node").alias("group"))
+    return prints.join(grouped, LONGS).select("doc_id", "said", "group")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """doc_id and duplicate_of, the lowest doc_id of its group, for each document that isn't the first of its group.
 
-    docs: needs doc_id and text. The fingerprint has 256 bits, of the text's different words in lower case, without
-    punctuation. Equal fingerprints are joined to one; the others are split, in several orders of their bits, into blocks;
-    fingerprints that share a block are compared in full. A group is what pairs within `distance` connect. Two documents
-    at `distance` 33 (13 % of the bits) share a block with probability 0.95, nearer ones with a higher one.
+    docs: needs doc_id and text. The fingerprint has 256 bits: for each, the majority over the text's different words (in lower case, without
+    punctuation) of that bit of the word's hash, a word weighing the logarithm of one more than its number. Equal fingerprints are joined to one. The others are
+    split into blocks so that any two within `distance` share one (see `pigeonhole`), fingerprints that share a block are
+    compared in full, and a group is what pairs within `distance` connect: no such pair is missed, and none beyond counts.
 
-    Documents without a word (null, empty, punctuation alone) or without an id are in no group. Rows that share a doc_id
-    are one document: it isn't a duplicate of itself. Other columns aren't read. An empty table gives an empty one.
+    Documents without a word (null, empty, punctuation alone) or without an id are in no group. Rows that share a doc_id are one
+    document, in the group with the lowest doc_id of those that its texts are in. Other columns aren't read. An empty
+    table gives an empty one.
     """
-    spark = docs.sparkSession
-    prints = written(fingerprint(docs), "simhash")
-    f = ["f0", "f1", "f2", "f3"]
-    nodes = written(prints.groupBy(*f).agg(F.min("doc_id").alias("node")), "simhash-nodes")
-    bits = block_bits(nodes.count())
-    orders = bit_orders(orders_for(bits))
-    spread = nodes.select("node", *f).mapInArrow(_spread(bits, orders, parts(spark)), "part int, blob binary")
-    edges = written(spread.groupBy("part").applyInPandas(_linked(distance), "u long, v long"), "simhash-edges")
-    # a document's edge to the node of its fingerprint; a doc_id with several texts links their nodes
-    same = written(prints.join(nodes.select("node", *f), f).filter("doc_id <> node").select("doc_id", "node").distinct(), "simhash-same")
-    links = edges.unionByName(same.select(F.col("doc_id").alias("u"), F.col("node").alias("v")))
-    return components(links).select(F.col("u").alias("doc_id"), F.col("root").alias("duplicate_of"))
+    own = written(classes(docs, distance), "simhash-classes")
+    first = own.groupBy("group").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    joined = own.join(first, "group").groupBy("doc_id").agg(F.min("first").alias("duplicate_of"))
+    return joined.filter("duplicate_of < doc_id")
 
 
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one document of each group: that with the lowest doc_id, once even if it is repeated.
+    """docs with one row of each group of near duplicates: of the lowest doc_id in it, and of its texts in the group that of the lowest hash.
 
-    Documents that are in no group stay as they are; so do all rows without an id. All columns are kept.
-    Ids, not texts, are counted; documents are shuffled once, by doc_id, against the ids to drop (hash join, no sort).
+    Rows of one doc_id whose texts are in different groups are judged apart. Of rows that repeat a doc_id and its text, one stays:
+    that of the lowest hash of all columns. Rows in no group stay as they are, repeated or not; so do all rows without an id or
+    a word. All columns are kept. Rows are shuffled once, by id and hash of the text, against those to drop (hash join, no sort).
     """
-    gone = near_duplicates(docs, distance).select(F.col("doc_id").alias("tw_gone"))
-    ids = docs.filter("doc_id IS NOT NULL").select("doc_id")
-    repeated = written(ids.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").cast("long").alias("tw_gone")), "repeated")
-    out = written(gone.unionByName(repeated).distinct(), "gone")
-    key = docs["doc_id"].cast("long")
-    kept = docs.join(out.hint("shuffle_hash"), key == out["tw_gone"], "left_anti")
+    own = written(classes(docs, distance), "simhash-classes")
+    best = own.groupBy("group").agg(F.min(F.struct("doc_id", "said")).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    each = own.join(best, "group").groupBy("doc_id", "said").agg(F.count("*").alias("n"), F.max(F.col("best") == F.struct("doc_id", "said")).alias("stays"))
+    each = written(each.filter("n > 1 OR NOT stays").select(F.col("doc_id").alias("tw_id"), F.col("said").alias("tw_said"), "stays"), "simhash-gone")
+    same = (docs["doc_id"].cast("long") == each["tw_id"]) & (F.xxhash64(docs["text"].cast("string")) == each["tw_said"])
+    kept = docs.join(each.hint("shuffle_hash"), same, "left_anti")
+    repeated = each.filter("stays")
     if repeated.isEmpty():
         return kept
-    once = repeated.join(written(gone, "gone-only"), "tw_gone", "left_anti")
-    first = docs.join(once.hint("shuffle_hash"), key == once["tw_gone"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(first)
+    rank, said = fresh(docs, "tw_rank"), fresh(docs, "tw_text")
+    several = docs.join(repeated.hint("shuffle_hash"), same, "left_semi").withColumn(said, F.xxhash64(F.col("text").cast("string")))
+    order = F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`"))) for c in docs.columns))
+    once = several.withColumn(rank, F.row_number().over(W.partitionBy(F.col("doc_id").cast("long"), said).orderBy(order))).filter(F.col(rank) == 1)
+    return kept.unionByName(once.drop(rank, said))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
