@@ -24,7 +24,7 @@ DISTANCE = 26
 NARROW, CROWD = 16, 5
 #: Bytes of records in a part of the join. Buckets of more than ROWS records are salted; they are found in a sample of about SAMPLE
 #: fingerprints, in which they occur SEEN times at least.
-PART_BYTES, ROWS, SAMPLE, SEEN = 1 << 25, 1 << 17, 1 << 18, 64
+PART_BYTES, ROWS, SAMPLE, SEEN = 1 << 25, 1 << 18, 1 << 16, 16
 #: Buckets up to this size are compared all at once.
 SMALL = 24
 LANES = [U(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)]
@@ -168,20 +168,28 @@ def crowded(nodes: DataFrame, blocks: Blocks, n: int, rows: int = ROWS) -> Hot |
     if n <= rows:
         return None
     one_in = max(1, n // SAMPLE)
+    sample = nodes.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(one_in)) == 0).select("node", *LONGS)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = block_keys(_matrix(batch), blocks)
-            row = pa.array(np.repeat(np.arange(len(keys)), keys.shape[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(c.take(row) for c in batch.columns)], ["key", "node", *LONGS])
+            yield pa.RecordBatch.from_arrays([pa.array(block_keys(_matrix(batch), blocks).ravel().view(np.int64))], ["key"])
 
-    sample = nodes.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(one_in)) == 0).select("node", *LONGS)
-    keyed = sample.mapInArrow(run, "key long, node long, f0 long, f1 long, f2 long, f3 long")
     least = max(2, min(SEEN, rows // one_in), -(-rows // one_in))
-    found = keyed.groupBy("key").agg(F.count("*").alias("c"), F.min_by(F.struct("node", *LONGS), "node").alias("m")).filter(F.col("c") >= least)
-    t = found.select("key", "c", "m.*").toArrow()
-    if not t.num_rows:
+    counts = sample.mapInArrow(keys_of, "key long").groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") >= least).toArrow()
+    if not counts.num_rows:
         return None
+    many = np.sort(counts["key"].to_numpy())
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = block_keys(_matrix(batch), blocks).view(np.int64)
+            row, column = np.nonzero(np.isin(keys, many))
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row, column]), *(c.take(at) for c in batch.columns)], ["key", "node", *LONGS])
+
+    wide = "key long, node long, f0 long, f1 long, f2 long, f3 long"
+    found = sample.mapInArrow(members, wide).groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("node", *LONGS)).alias("m"))
+    t = found.select("key", "c", "m.*").toArrow()
     keys = t["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     prints = np.stack([t[c].to_numpy() for c in LONGS], axis=1).view(np.uint64)
