@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from timeweave.functions.partitions import spread
 from timeweave.llm.textbatch import count_words
@@ -75,6 +76,13 @@ def with_words(df: DataFrame, key: str, kind: str) -> DataFrame:
     return small_batches(df).select(F.col(key).cast(kind).alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} {kind}, n long")
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df with its rows, of all columns, mapped by `run`, which finds them in their order; columns may have any names, with dots in them or repeated."""
+    safe = [f"c{k}" for k in range(len(df.columns))]
+    schema = StructType([StructField(s, f.dataType, f.nullable) for s, f in zip(safe, df.schema.fields)])
+    return small_batches(df).toDF(*safe).mapInArrow(run, schema).toDF(*df.columns)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """df, on all cores; in its session, Arrow batches hold 2,000 rows unless another number is set, as rows with whole texts are large."""
     conf = df.sparkSession.conf

@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import small_batches, written
+from timeweave.llm.common import map_rows, small_batches, written
 from timeweave.llm.textbatch import WHITE, spans_sum, texts, words
 
 #: Labelled documents that a fit learns from at most, about, drawn by a hash of doc_id, and documents that a view may label in a round.
 MAX_LABELLED, MAX_LENT = 4000, 400
-#: Rounds of co-training; share of the unlabelled documents that a view may label in a round; probability from which it is sure.
-ROUNDS, SHARE, SURE = 5, 0.05, 0.95
+#: Rounds of co-training; share of the unlabelled documents that a view may label in the first round, in the second twice that, and so on.
+ROUNDS, SHARE = 5, 0.05
+#: A view lends a label from the logit beyond which it is right in that share of at least so many held-out documents.
+PRECISION, WITNESSES = 0.95, 10
+#: What a lent label counts, where a true one counts 1.
+WORTH = 0.25
 #: Documents of lower combined probability are rejected.
 THRESHOLD = 0.5
 BUCKETS, SOURCES, LANGS = 1024, 64, 16
@@ -34,11 +38,12 @@ def text_view(column: pa.Array) -> np.ndarray:
     out = np.zeros((len(column), N_TEXT), np.float32)
     for t in texts(column):
         n, docs = len(t.data), t.hi - t.lo
-        if n < 2:
+        if not n:
             continue
         pair = PAIR[(t.data[:-1].astype(np.int64) << 8) | t.data[1:]]
-        doc = np.repeat(np.arange(docs), np.diff(t.bounds))[:-1]
-        count = np.bincount(doc * BUCKETS + pair, minlength=docs * BUCKETS).reshape(docs, BUCKETS)
+        doc = np.repeat(np.arange(docs), np.diff(t.bounds))
+        within = doc[:-1] == doc[1:]  # a text's last byte and the next one's first are no pair
+        count = np.bincount((doc[:-1] * BUCKETS + pair)[within], minlength=docs * BUCKETS).reshape(docs, BUCKETS)
         out[t.lo : t.hi, :BUCKETS] = np.sqrt(count / np.maximum(count.sum(axis=1, keepdims=True), 1))
         w = words(t, WHITE_OFF)
         many = np.maximum(np.diff(w.first), 1)
@@ -121,18 +126,19 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) -> View:
-    """Ridge logistic regression by accelerated gradient steps on standardised columns."""
+def logistic(x: np.ndarray, y: np.ndarray, worth: np.ndarray, ridge: float = 1e-3, steps: int = 150) -> View:
+    """Ridge logistic regression by accelerated gradient steps on standardised columns. worth: the rows' weights, 1 at most."""
+    part = (worth / worth.sum()).astype(np.float32)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     z = ((x - mean) / scale).astype(np.float32)
     v = np.random.default_rng(0).normal(size=z.shape[1]).astype(np.float32)
     for _ in range(12):  # largest eigenvalue, for the step
         v = z.T @ (z @ v)
         v /= np.linalg.norm(v) + 1e-12
-    step = 1 / (0.25 * float(np.linalg.norm(z @ v) ** 2) / len(z) + 0.25 + ridge)
+    step = 1 / (0.25 * float(np.linalg.norm(z @ v) ** 2) * float(part.max()) + 0.25 + ridge)
     w = ahead = np.zeros(z.shape[1] + 1, np.float32)
     for k in range(steps):
-        error = (sigmoid(z @ ahead[:-1] + ahead[-1]) - y) / len(z)
+        error = (sigmoid(z @ ahead[:-1] + ahead[-1]) - y) * part
         g = np.r_[z.T @ error.astype(np.float32) + ridge * ahead[:-1], error.sum()].astype(np.float32)
         new = ahead - step * g
         ahead = new + k / (k + 3) * (new - w)
@@ -159,26 +165,41 @@ def calibrated(view: View, x: np.ndarray, y: np.ndarray) -> View:
     return view
 
 
+def loss(view: View, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The logistic loss of a calibrated view for each row."""
+    return np.logaddexp(0, np.where(y > 0.5, -1, 1) * view.logit(x))
+
+
+def least_logits(view: View, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """For bad and for good: the size of the logit from which the view may lend that label, by its precision on held-out rows; inf: never."""
+    logit, out = view.logit(x), []
+    for label in (0.0, 1.0):
+        sure = logit if label else -logit
+        order = np.argsort(-sure, kind="stable")
+        right = np.cumsum(y[order] == label)
+        n = np.arange(1, len(order) + 1)
+        ok = np.flatnonzero(((right + 1) / (n + 2) >= PRECISION - 1 / (n + 2)) & (n >= WITNESSES) & (sure[order] > 0))
+        out.append(float(sure[order[ok[-1]]]) if len(ok) else np.inf)
+    return out[0], out[1]
+
+
 def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = ROUNDS) -> Model | None:
     """y: 1 good, 0 bad, -1 unlabelled. fold: rows whose hash makes them the quarter for calibration, if labelled.
 
-    In each round either view labels the unlabelled rows it is surest of, in the classes' proportions and SHARE of the pool at
-    most, and the other view learns from them. None if the rows to learn from or those to calibrate by lack a class.
+    As `fit`, over arrays. None if the rows to learn from or those to calibrate by lack a class.
     """
-    held, learn, pool = (y >= 0) & fold, (y >= 0) & ~fold, y < 0
-    lent = [np.full(len(y), -1.0), np.full(len(y), -1.0)]  # labels that view 0 and view 1 were given
+    held, learn, pool = (y >= 0) & fold, (y >= 0) & ~fold, np.flatnonzero(y < 0)
     x = (text, meta)
 
-    def lend(views: list[View], share: float) -> list[Lent]:
+    def lend(views: list[View], least: list[tuple[float, float]], share: float, times: int) -> list[Lent]:
         out = []
         for k in (0, 1):
-            p = sigmoid(views[k].logit(x[k]))
-            free = pool & (lent[1 - k] < 0)
-            for label, sure, most in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                rows = np.flatnonzero(free & (sure >= SURE))
-                rows = rows[np.argsort(-sure[rows], kind="stable")][: max(1, int(pool.sum() * SHARE * most))]
-                lent[1 - k][rows] = label
-                out.append(Lent(1 - k, label, x[1 - k][rows]))
+            logit = views[k].logit(x[k][pool])
+            for label, part in ((0, 1 - share), (1, share)):
+                sure = logit if label else -logit
+                rows = np.flatnonzero(sure >= least[k][label])
+                rows = pool[rows[np.argsort(-sure[rows], kind="stable")][: max(1, int(len(pool) * SHARE * times * part))]]
+                out.append(Lent(1 - k, float(label), x[1 - k][rows]))
         return out
 
     return taught((text[learn], meta[learn]), y[learn], (text[held], meta[held]), y[held], lend, rounds)
@@ -192,35 +213,55 @@ class Lent(NamedTuple):
     rows: np.ndarray
 
 
-def taught(x: tuple, y: np.ndarray, held_x: tuple, held_y: np.ndarray, lend: Callable[[list[View], float], list[Lent]], rounds: int) -> Model | None:
-    """The model of labelled rows of both views, calibrated by held ones, and of what `lend` gives in each round for the
-    views so far and the share of good rows. None if the rows to learn from or those to calibrate by lack a class."""
+def taught(x: tuple, y: np.ndarray, held_x: tuple, held_y: np.ndarray, lend: Callable, rounds: int) -> Model | None:
+    """The model of labelled rows of both views, calibrated by held ones, and of what `lend` gives.
+
+    In each round, lend is asked for what the views as they are label for each other: it gets the views, the logits from which each
+    may lend each label, the share of good rows, and the number of the round. Labels lent before are not kept: those the lender is no longer sure
+    of are gone. A view that learned from lent labels takes the old one's place if its loss on the held rows is less by more than a standard
+    error; once neither's is, the rounds end. None if the rows to learn from or those to calibrate by lack a class.
+    """
     if any(not len(v) or not 0 < v.sum() < len(v) for v in (y, held_y)):
         return None
-    known = [[(x[k], y)] for k in (0, 1)]
-    for r in range(rounds + 1):
-        views = []
-        for k in (0, 1):
-            rows, labels = (np.concatenate(c) for c in zip(*known[k]))
-            views.append(calibrated(logistic(rows, labels), held_x[k], held_y))
-        if r == rounds:
-            break
-        given = [g for g in lend(views, float(y.mean())) if len(g.rows)]
-        if not given:
+
+    def learned(k: int, lent: list[Lent]) -> View:
+        rows = np.concatenate([x[k], *(g.rows for g in lent)])
+        labels = np.concatenate([y, *(np.full(len(g.rows), g.label) for g in lent)])
+        worth = np.concatenate([np.ones(len(y)), np.full(len(rows) - len(y), WORTH)])
+        return calibrated(logistic(rows, labels, worth), held_x[k], held_y)
+
+    views = [learned(k, []) for k in (0, 1)]
+    losses = [loss(views[k], held_x[k], held_y) for k in (0, 1)]
+    for r in range(rounds):
+        least = [least_logits(views[k], held_x[k], held_y) for k in (0, 1)]
+        given = [g for g in lend(views, least, float(y.mean()), r + 1) if len(g.rows)] if np.isfinite(least).any() else []
+        better = False
+        for k in {g.view for g in given}:
+            view = learned(k, [g for g in given if g.view == k])
+            now = loss(view, held_x[k], held_y)
+            gain = losses[k] - now
+            if gain.mean() > gain.std() / np.sqrt(len(gain)):
+                views[k], losses[k], better = view, now, True
+        if not better:
             break
-        for g in given:
-            known[g.view].append((g.rows, np.full(len(g.rows), g.label)))
     return Model(views[0], views[1], combined(views[0].logit(held_x[0]), views[1].logit(held_x[1]), held_y))
 
 
 def combined(a: np.ndarray, b: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Weights of two calibrated logits and a shift, fitted to held-out rows with a pull towards the first alone; none is negative."""
-    z, w = np.stack([a, b, np.ones(len(a))], axis=1), np.array([1.0, 0.0, 0.0])
-    for _ in range(50):
+    """Weights of two calibrated logits and a shift, fitted to held-out rows; none is negative.
+
+    The pull, of the weight of one row, is towards what would be right for views that are independent given the class: the sum of both less the prior."""
+    aim = np.array([1.0, 1.0, -np.log(y.sum() / (1 - y).sum())])
+    z, w = np.stack([a, b, np.ones(len(a))], axis=1), aim.copy()
+    free = np.ones(3, bool)
+    for _ in range(200):
         p = sigmoid(z @ w)
-        g = z.T @ (p - y) + (w - [1.0, 0.0, 0.0])
-        move = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.eye(3), g)
-        w = w - np.clip(move, -1, 1)
+        g = z.T @ (p - y) + (w - aim)
+        free[:2] = (w[:2] > 0) | (g[:2] < 0)  # a weight at 0 that would fall stays there
+        h = (z.T * (p * (1 - p))) @ z + np.eye(3)
+        move = np.zeros(3)
+        move[free] = np.clip(np.linalg.solve(h[np.ix_(free, free)], g[free]), -1, 1)
+        w = w - move
         w[:2] = np.maximum(w[:2], 0)
         if np.abs(move).max() < 1e-6:
             break
@@ -252,36 +293,37 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return _columns(docs).withColumn("key", F.xxhash64("doc_id", "text", "lang", "source", "n_chars"))
 
 
-def _sure(views: list[View], lent: list[np.ndarray]):
-    """A row for each document and view that is sure of it: its number with the label (2 * view + label), and the logit's size."""
+def _sure(views: list[View], least: list[tuple[float, float]]):
+    """A row for each document and view that may lend it a label: its key with the label (2 * view + label), and the logit's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = float(np.log(SURE / (1 - SURE)))
         for batch in batches:
             ids, key, places, *columns = batch.columns
-            keys = key.to_numpy()
             for lo in range(0, batch.num_rows, 1024):
                 piece = [c.slice(lo, 1024) for c in columns]
-                for k, rows in enumerate((text_view(piece[0]), meta_view(*piece))):
-                    logit = views[k].logit(rows)
-                    at = np.flatnonzero((np.abs(logit) >= least) & ~np.isin(keys[lo : lo + 1024], lent[1 - k]))
+                for k, view in enumerate((text_view, meta_view)):
+                    if not np.isfinite(least[k]).any():
+                        continue
+                    logit = views[k].logit(view(piece[0]) if view is text_view else view(*piece))
+                    good = logit > 0
+                    at = np.flatnonzero(np.abs(logit) >= np.where(good, least[k][1], least[k][0]))
                     take = pa.array(at + lo)
                     yield pa.RecordBatch.from_arrays(
-                        [ids.take(take), key.take(take), places.take(take), pa.array((2 * k + (logit[at] > 0)).astype(np.int32)), pa.array(np.abs(logit[at]))],
+                        [ids.take(take), key.take(take), places.take(take), pa.array((2 * k + good[at]).astype(np.int32)), pa.array(np.abs(logit[at]))],
                         ["doc_id", "key", "place", "label", "sure"],
                     )
 
     return run
 
 
-def surest(docs: DataFrame, known: DataFrame, views: list[View], lent: list[np.ndarray], most: list[int]) -> dict[int, list[int]]:
+def surest(docs: DataFrame, known: DataFrame, views: list[View], least: list[tuple[float, float]], most: list[int]) -> dict[int, list[int]]:
     """Keys of the documents without a label that each view is surest of, for each label (2 * view + label), `most` of that label at most.
 
-    Every document is scored. Sources and languages take turns: the surest of each before the second of any. lent: keys that view 0
-    and view 1 were given before.
+    Every document is scored; least: the logits from which a view may lend. Sources and languages take turns: the surest of each
+    before the second of any.
     """
     rows = _keyed(docs).select("doc_id", "key", F.xxhash64("source", "lang").alias("place"), "text", "lang", "source", "n_chars")
-    scored = rows.mapInArrow(_sure(views, lent), "doc_id long, key long, place long, label int, sure double")
+    scored = rows.mapInArrow(_sure(views, least), "doc_id long, key long, place long, label int, sure double")
     free = scored.join(known.select("doc_id"), "doc_id", "left_anti")
     turn = F.row_number().over(W.partitionBy("label", "place").orderBy(F.desc("sure"), "key"))
     first = free.withColumn("turn", turn).filter(F.col("turn") <= max(most))
@@ -293,11 +335,12 @@ def surest(docs: DataFrame, known: DataFrame, views: list[View], lent: list[np.n
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lent: int = MAX_LENT) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_lent: int = MAX_LENT, rounds: int = ROUNDS) -> Model | None:
     """The model of a bounded sample of the labelled documents, drawn by a hash of doc_id, and of all documents without a label.
 
-    In each round both views score every unlabelled document and label those they are surest of for each other, max_lent and
-    SHARE of them at most, in the classes' proportions. Null ids and labels other than 0 and 1 are left out, as are documents
+    In each round both views score every unlabelled document and label those they are surest of for each other: only beyond the logit at
+    which held-out documents show that they are right, max_lent and SHARE of them at most in the first round (k times that in round k), in the classes' proportions.
+    See `taught` for what becomes of lent labels. Null ids and labels other than 0 and 1 are left out, as are documents
     whose labels disagree; those count as unlabelled, and so do documents without an id. Labelled documents that aren't drawn
     take no part. None: too few labels of a class.
     """
@@ -316,24 +359,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     x = _arrays(rows)
     y = rows["other"].cast(pa.float64()).to_numpy()
     fold = np.array([zlib.crc32(b"fold%d" % i) % 4 == 0 for i in rows["doc_id"].to_pylist()])
-    lent = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
     n_pool = max(n_docs - n_known, 1)
 
-    def lend(views: list[View], share: float) -> list[Lent]:
-        room = min(max_lent, n_pool * SHARE)
-        keys = surest(docs, known, views, lent, [max(1, int(room * s)) for s in (1 - share, share)] * 2)
+    def lend(views: list[View], least: list[tuple[float, float]], share: float, times: int) -> list[Lent]:
+        room = min(max_lent, n_pool * SHARE) * times
+        keys = surest(docs, known, views, least, [max(1, int(room * s)) for s in (1 - share, share)] * 2)
         picked = docs.sparkSession.createDataFrame([(k,) for k in sorted({k for v in keys.values() for k in v})], "key long")
         found = _keyed(docs).join(F.broadcast(picked), "key").select("doc_id", "text", "lang", "source", "n_chars", "key")
         rows = found.dropDuplicates(["key"]).mapInArrow(_views, wide).toArrow()
         both, at = _arrays(rows), {k: i for i, k in enumerate(rows["other"].to_pylist())}
-        out = []
-        for label, chosen_keys in sorted(keys.items()):
-            k = 1 - label // 2
-            lent[k] = np.union1d(lent[k], np.array(chosen_keys, np.int64))
-            out.append(Lent(k, float(label % 2), both[k][[at[key] for key in dict.fromkeys(chosen_keys)]]))
-        return out
+        return [Lent(1 - label // 2, float(label % 2), both[1 - label // 2][[at[key] for key in dict.fromkeys(chosen_keys)]]) for label, chosen_keys in sorted(keys.items())]
 
-    return taught((x[0][~fold], x[1][~fold]), y[~fold], (x[0][fold], x[1][fold]), y[fold], lend, ROUNDS)
+    return taught((x[0][~fold], x[1][~fold]), y[~fold], (x[0][fold], x[1][fold]), y[fold], lend, rounds)
 
 
 SCHEMA = "doc_id long, p_text double, p_meta double, quality_score double, keep boolean"
@@ -378,7 +415,7 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD
             p = _score_arrays(model, *views)[2]
             yield batch.filter(pa.array(p >= threshold))
 
-    return small_batches(docs).mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import small_batches
+from timeweave.llm.common import map_rows, small_batches
 from timeweave.llm.textbatch import Texts, texts
 
 #: Bytes on either side that prime the compressor.
@@ -407,7 +407,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
     All rows and columns stay.
     """
     names = docs.columns
-    return small_batches(docs).mapInArrow(_masked(names.index("text"), names.index("n_chars") if "n_chars" in names else -1), docs.schema)
+    return map_rows(docs, _masked(names.index("text"), names.index("n_chars") if "n_chars" in names else -1))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
