@@ -30,7 +30,7 @@ def scanned(texts):
 
 
 def test_finds_and_masks(docs_of):
-    docs = docs_of([(i, t) for i, t, _ in TEXTS] + [(1, TEXTS[0][1]), (None, TEXTS[0][1])], START=F.lit(1), context=F.lit("x"))
+    docs = docs_of([(i, t) for i, t, _ in TEXTS] + [(1, TEXTS[0][1]), (None, TEXTS[0][1])], START=F.lit(1), context=F.lit("x")).withColumn("a.b", F.lit(1))
     text = {i: t for i, t, _ in TEXTS} | {None: TEXTS[0][1]}
     got = {}
     for r in S.find_secrets(docs).collect():
@@ -60,6 +60,77 @@ def test_placeholders_are_cheap(known):
     assert S.marginal_bytes(comp, f"key = {known} end".encode(), 6, 6 + len(known)) < 0.5 * len(known)
 
 
+RANDOM = "q7Zk2VbX9mTn4RwY8sLd3HfJ6pGc"
+LONG = "".join(random.Random(9).choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=5000))
+
+
+@pytest.mark.parametrize("text, found", [
+    ('password = "aB3$kL9!zQ7@mN2#"', ["aB3$kL9!zQ7@mN2#"]), ('password = "Tr0ub4dor&3x!kQ"', ["Tr0ub4dor&3x!kQ"]),
+    (f"token: |\n  {RANDOM}\n", [RANDOM]), (f'SECRET = """\n{RANDOM}\n"""', [RANDOM]), (f"the api key\n{RANDOM}\n", [RANDOM]),
+    (f'{{"value": "{RANDOM}", "name": "api_key"}}', [RANDOM]), (f"{RANDOM}  # api key", [RANDOM]), (f"{RANDOM}\napi key of it", []),
+    ("https://user:pa55W0rd9zQx@host.example.com/db", ["pa55W0rd9zQx"]), (f"postgres://admin:{RANDOM}@db:5432/x and https://host/a:b", [RANDOM]), (f"https://host/{RANDOM}", []),
+    ("secret = " + "a" * 4096 + LONG, ["a" * 4096 + LONG]),
+])
+def test_values_and_contexts(text, found):
+    assert scanned([text]) == [found]
+
+
+def test_no_word_of_the_dictionary_is_new():
+    """Not by a look-up: the compressor copies each, however short the text around it is."""
+    words = [w for w in S.IDENTIFIERS.decode().split() if len(w) >= S.SHORT]
+    assert len(words) > 100 and not any(scanned([f'x\npassword = "{w}"\ny' for w in words]))
+
+
+def naive_scan(text):
+    """Candidates by their description, a character at a time, each compressed with and without: of assigned quoted values and of runs."""
+    import re
+
+    import zstandard
+
+    comp = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(S.IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False)
+    spans = [m.span(1) for m in re.finditer(r'(?:password|token|secret|api_key) = "([^"\s]{8,})"', text)]
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and (text[end].isalnum() and text[end].isascii() or text[end] in "+/_-.~"):
+            end += 1
+        run = text[at:end].rstrip(".-/~")
+        line = text[: at].rsplit("\n", 1)[-1][-S.CONTEXT :], text[at + len(run) :].split("\n", 1)[0][: S.CONTEXT]
+        if len(run) >= 16 and any(c.isdigit() for c in run) and any(w in part for part in line for w in ("password", "token", "secret", "api_key")):
+            spans.append((at, at + len(run)))
+        at = max(end, at + 1)
+    out = []
+    for a, b in spans:
+        value = text[a:b]
+        if any(x < b and a < y for x, y in out):
+            continue
+        before, after = text[max(0, a - S.WINDOW) : a].replace(value, ""), text[b : b + S.WINDOW].replace(value, "")
+        around = f"{before}\n{after}\n".encode()
+        cost = len(comp.compress(around + value.encode() + S.END)) - len(comp.compress(around + S.END))
+        if cost >= S.enough(value.encode()):
+            out.append((a, b))
+    return sorted(out)
+
+
+def test_against_a_naive_scanner(docs_of):
+    """Prose with assignments, placeholders, checksums and runs near and far from sensitive words."""
+    rng = random.Random(3)
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = "the of config value file and then host name line error".split()
+    texts = []
+    for _ in range(150):
+        lines = []
+        for _ in range(rng.randrange(1, 12)):
+            value = rng.choice(["changeme", "your_api_key_here", "".join(rng.choice(chars) for _ in range(rng.randrange(8, 40))), "ab1" * 8])
+            lines.append(rng.choice([f'{rng.choice(["password", "token", "secret", "api_key"])} = "{value}"', f"{rng.choice(words)} {value} end", " ".join(rng.choices(words, k=9)), f"the token of {rng.choice(words)} is {value}", f'{value} for the secret']))
+        texts.append("\n".join(lines))
+    got = {}
+    for r in S.find_secrets(docs_of(texts)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    want = {k: found for k, t in enumerate(texts) if (found := naive_scan(t))}
+    assert {k: sorted(v) for k, v in got.items()} == want and sum(map(len, want.values())) > 100
+
+
 @pytest.mark.parametrize("around", [40, 64])
 @pytest.mark.parametrize("n", [32, 40, 64, 128, 256])
 def test_hex_keys_among_other_keys(n, around):

@@ -19,12 +19,12 @@ from timeweave.llm.textbatch import Texts, texts
 
 #: Bytes on either side that prime the compressor.
 WINDOW = 4096
-#: Bytes before a candidate that isn't part of an assignment, within its line, in which a sensitive word makes the context sensitive.
+#: Bytes on either side of a candidate that isn't part of an assignment in which a sensitive word makes the context sensitive.
 CONTEXT = 64
 #: Marginal compressed bytes per byte, and in all, from which a candidate counts as incompressible; PLAIN: of those without a digit.
 NOVELTY, PLAIN, LEAST = 0.55, 0.9, 8
 #: Share of what a random string over the candidate's alphabet needs that is enough, where that is less than NOVELTY or LEAST.
-RANDOM = 0.65
+RANDOM = 0.75
 SHORT, LONG = 8, 16
 #: A candidate longer than AT_ONCE is measured in pieces of at most PIECE bytes, of which the most novel decides.
 AT_ONCE, PIECE = 4096, 512
@@ -65,6 +65,10 @@ MORE = re.compile(rb"(?:\s*+(?:\+|\|\||\?\?|\bor\b|\.\.)|[ \t]*+\\\r?\n)(?:\s|\\
 ALPHABETS = [(re.compile(rb"[%s]+" % chars), size) for chars, size in ((rb"0-9", 10), (rb"0-9a-f", 16), (rb"0-9A-F", 16), (rb"A-Z2-7", 32), (rb"0-9a-z", 36), (rb"0-9A-Z", 36), (rb"0-9A-Za-z", 62), (rb"0-9A-Za-z+/_-", 66))]
 #: Shapes that are sensitive by themselves.
 SHAPED = re.compile(rb"(?:AKIA|ASIA|AGPA|AIDA)[A-Z0-9]{16}$|gh[pousr]_[A-Za-z0-9]{30,}$|github_pat_\w{40,}$|glpat-[\w-]{18,}$|xox[abprs]-[\w-]{10,}$|sk[-_](?:live_|test_|proj-|ant-)?[\w-]{18,}$|AIza[\w-]{33,}$|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}$|npm_[A-Za-z0-9]{30,}$|hf_[A-Za-z0-9]{30,}$")
+#: What shows that a line gives a value itself.
+VALUE = re.compile(rb"[0-9\"'`]|[=:]\s*[^\s|>]")
+#: The password in a URL.
+URL = re.compile(rb"://[^\s/@:\"'`<>]*+:([^\s/@\"'`<>]++)@")
 PEM = re.compile(rb"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(.{16,}?)-----END", re.S)
 
 #: What code says without being secret: identifiers, placeholders, alphabets.
@@ -84,6 +88,10 @@ IDENTIFIERS = " ".join(
 ).encode()
 
 
+#: Follows what is compressed: within the last bytes of its input the compressor doesn't look for matches. No text in UTF-8 has these.
+END = bytes(range(128, 144))
+
+
 class Found(NamedTuple):
     """Byte offsets of a string within its text, what made its context sensitive, and its cost."""
 
@@ -108,11 +116,11 @@ def marginal_pieces(compressor: zstandard.ZstdCompressor, text: bytes, start: in
     """text[start:end], or its pieces if it is longer than AT_ONCE, with the compressed bytes that each adds to the surroundings of the whole."""
     candidate = text[start:end]
     around = text[max(0, start - WINDOW) : start].replace(candidate, b"") + b"\n" + text[end : end + WINDOW].replace(candidate, b"") + b"\n"
-    plain = len(compressor.compress(around))
+    plain = len(compressor.compress(around + END))
     n = len(candidate)
     many = -(-n // PIECE) if n > AT_ONCE else 1
     pieces = [candidate[n * k // many : n * (k + 1) // many] for k in range(many)]
-    return [(p, len(compressor.compress(around + p)) - plain) for p in pieces]
+    return [(p, len(compressor.compress(around + p + END)) - plain) for p in pieces]
 
 
 def enough(candidate: bytes) -> float:
@@ -260,6 +268,18 @@ def assignments(text: bytes) -> list[tuple[int, int, bytes, list[tuple[int, int]
     return out
 
 
+def _nearby(text: bytes, start: int, end: int) -> str:
+    """The sensitive word next to text[start:end]: the last of the CONTEXT bytes before it in its line, or in the line before if that gives
+    no value and the text opens its own; else the first of so many bytes after it in its line."""
+    lines = text[max(0, start - CONTEXT) : start].rsplit(b"\n", 2)
+    if words := list(SENSITIVE.finditer(lines[-1])):
+        return words[-1].group(0).decode().lower()
+    if len(lines) > 1 and not lines[-1].strip(b" \t\r\"'`-") and (words := list(SENSITIVE.finditer(lines[-2]))) and not VALUE.search(lines[-2], words[-1].end()):
+        return words[-1].group(0).decode().lower()
+    word = SENSITIVE.search(text[end : end + CONTEXT].split(b"\n", 1)[0])
+    return word.group(0).decode().lower() if word else ""
+
+
 def _found(start: int, end: int, context: str, pieces: list[tuple[bytes, int]]) -> Found:
     return Found(start, end, context, sum(cost for _, cost in pieces), max(cost / len(p) for p, cost in pieces))
 
@@ -280,24 +300,25 @@ def scan_text(text: bytes, spans: Iterator[tuple[int, int]], compressor: zstanda
         while e > s and text[e - 1] in b".-/~":  # the end of a sentence isn't part of a credential
             e -= 1
         runs.append((s, e))
-    for s, e in dict.fromkeys([*values, *runs]):
+    urls = dict.fromkeys(m.span(1) for m in URL.finditer(text)) if b"://" in text else {}
+    for s, e in dict.fromkeys([*values, *urls, *runs]):
         near = bisect_right(taken, (s, e))
         if e - s < SHORT or near and taken[near - 1][1] > s or near < len(taken) and taken[near][0] < e:
             continue
         candidate = text[s:e]
-        if candidate.isdigit() and e - s < LONG or candidate in IDENTIFIERS:  # a copy of the dictionary isn't new, whatever its offset costs
+        if candidate.isdigit() and e - s < LONG:
             continue
         context = ""
         if SHAPED.match(candidate):
             context = "shape"
         else:
             k = bisect_right(assigned, s, key=lambda x: x[0]) - 1
-            head = text[max(0, s - CONTEXT) : s].rsplit(b"\n", 1)[-1]
-            words = list(SENSITIVE.finditer(head))
             if k >= 0 and s < assigned[k][1]:
                 context = assigned[k][2].decode().lower()
-            elif words:
-                context = words[-1].group(0).decode().lower()
+            elif (s, e) in urls:
+                context = "url"
+            else:
+                context = _nearby(text, s, e)
         if not context:
             continue
         pieces = marginal_pieces(compressor, text, s, e)
@@ -318,6 +339,8 @@ def scan_batch(column: pa.Array, compressor: zstandard.ZstdCompressor) -> Iterat
             d = int(np.searchsorted(t.bounds, at, "right")) - 1
             rows.add(d)
             at = whole.find(b"PRIVATE KEY-----", int(t.bounds[d + 1]))
+        for m in URL.finditer(whole) if b"://" in whole else ():
+            rows.update((np.searchsorted(t.bounds, [m.start(), m.end() - 1], "right") - 1).tolist())
         for m in _named(whole):
             rows.update((np.searchsorted(t.bounds, [m.start(), m.end() - 1], "right") - 1).tolist())
         for d in sorted(rows):
@@ -357,13 +380,12 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     that is assigned (after = or :), or, in what a sensitive name is assigned, a value of 8 bytes whatever characters it has: of
     a quoted string what stands between white space, else all up to white space; what only refers to another value or is a call
     isn't one. The value as a whole goes before the runs in it. Its context is sensitive if it belongs to what a name with a word like token or password in it
-    is assigned (however far, over lines, lists and calls), if such a word stands in the 64 bytes before it in its line, or if
-    its own shape says so; a private key between its markers is one candidate. zstandard, primed with a
+    is assigned (however far, over lines, lists and calls), if such a word stands in the 64 bytes before it in its line (or in the line
+    before, if that gives no value and the candidate opens its own) or after it in its line, if it is the password of a URL, or if its own shape says so; a private key between its markers is one candidate. zstandard, primed with a
     dictionary of identifiers and placeholders, compresses the 4 KB on either side without and with the candidate: what the
     candidate adds are its marginal bytes. It is reported from NOVELTY bytes per byte (PLAIN if it has no digit)
     and LEAST bytes in all, or, if that is less and it has a digit, from RANDOM of the bytes that a random string over its
-    alphabet (digits, hex, base32, letters with digits, base64) needs; under LONG bytes, LEAST bytes in all hold in any case. A string
-    that the dictionary holds as it is never is. What is longer than AT_ONCE is measured in pieces; one that is enough reports the whole.
+    alphabet (digits, hex, base32, letters with digits, base64) needs; under LONG bytes, LEAST bytes in all hold in any case. What is longer than AT_ONCE is measured in pieces; one that is enough reports the whole.
 
     Null and empty texts have none. Null ids are reported as null; equal rows are reported each. Other columns aren't read.
     """
