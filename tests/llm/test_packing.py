@@ -78,10 +78,22 @@ def test_every_piece_is_packed_once(docs_of):
 
 
 def test_exchange_saves_bins(spark):
-    rows = [(k, "", "en", "s", n) for k, n in enumerate([6, 4] * 40 + [7, 3] * 40 + [9, 2, 5, 5] * 20)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    bins = lambda rounds: P.pack(docs, 10, F.col("n_chars"), 30, rounds).select("shard", "bin").distinct().count()
-    assert bins(3) <= bins(0)
+    """Lengths of which best-fit decreasing leaves gaps in every small shard: exchanging pieces takes fewer bins, and loses none."""
+    rng = np.random.default_rng(303)
+    lengths = rng.choice([5, 12, 7, 8], 600).tolist()
+    docs = spark.createDataFrame([(k, "", "en", "s", n) for k, n in enumerate(lengths)], "doc_id long, text string, lang string, source string, n_chars long")
+    packed = [P.pack(docs, 22, F.col("n_chars"), 30, r).cache() for r in (0, 3)]
+    bins = [df.select("shard", "bin").distinct().count() for df in packed]
+    assert bins[1] < bins[0] and bins[1] >= P.lower_bound(np.array(lengths), 22)
+    assert all(sorted((r.doc_id, r.length) for r in df.collect()) == list(enumerate(lengths)) for df in packed)
+    assert max(r.fill for r in packed[1].groupBy("shard", "bin").agg(F.sum("length").alias("fill")).collect()) <= 22
+
+
+def test_rows_that_nothing_tells_apart_are_spread(docs_of):
+    """Without an id, or copies of one document: not all in one shard."""
+    for same in (None, 7):
+        got = P.pack(docs_of([(same, "a b c d")] * 3000), capacity=10, shard=100).groupBy("shard").agg(F.count("*").alias("n")).collect()
+        assert len(got) >= 25 and max(r.n for r in got) < 200 and sum(r.n for r in got) == 3000
 
 
 def test_nothing_to_pack(docs_of):

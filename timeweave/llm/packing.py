@@ -142,7 +142,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
     Result: doc_id, piece, start (of the piece within its document), length, shard and bin (together they name a bin), place
     (the piece's rank in the bin), shard_bins, lower_bound and certified: whether the shard's number of bins is proven least.
 
-    Pieces are spread over shards by a hash and each shard is packed best-fit decreasing. The lower bound of dual feasible
+    Pieces are spread over shards by a hash, those that nothing tells apart one by one, and each shard is packed best-fit decreasing. The lower bound of dual feasible
     functions certifies it, or shows a gap; shards with gaps, FAN_IN at a time, exchange the pieces of their bins that aren't
     full and pack those again, up to `rounds` times. A full bin needs no company: shard_bins and lower_bound of rows that
     stay behind are brought up to date for the bins that are left in their shard.
@@ -154,7 +154,9 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, length: Column | None = None
         raise ValueError("capacity must be positive")
     cut = written(pieces(docs, capacity, length), "pack-pieces")
     shards = max(1, -(-cut.count() // shard))
-    keyed = cut.withColumn("tw_s", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # pieces that nothing tells apart, as of rows without an id or the copies of a document, are numbered: each has a shard of its own
+    alike = cut.groupBy("doc_id", "piece", "start", "length").agg(F.count("*").alias("tw_n")).withColumn("tw_k", F.explode(F.sequence(F.lit(1).cast("long"), "tw_n")))
+    keyed = alike.withColumn("tw_s", F.pmod(F.xxhash64("doc_id", "piece", "length", "tw_k"), F.lit(shards))).drop("tw_n", "tw_k")
     packed = written(keyed.groupBy("tw_s").applyInPandas(_first(capacity), SCHEMA), "pack-0")
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     for r in range(1, rounds + 1):
