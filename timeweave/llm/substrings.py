@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timeweave.llm.common import discard, parts, small_batches, written
+from timeweave.llm.common import discard, input_bytes, parts, small_batches, written
 from timeweave.llm.textbatch import U, WHITE, mixed, powers, texts, words
 
 #: Words of the shortest repeated passage that is reported, an even number; the first level has windows of half as many.
@@ -20,6 +20,8 @@ STEP, STEP_INV = 0xD1342543DE82EF95, pow(0xD1342543DE82EF95, -1, 1 << 64)
 NOT_WHITE = ~WHITE
 #: Entries that a task gathers before it packs them.
 GATHER = 1 << 19
+#: Bytes of input for each part of an exchange, where the session's number of partitions gives more.
+PART_BYTES = 1 << 24
 #: A window at a place of a document (key: hash of its words; id). times: 2 if more rows than one are this document's copies.
 ENTRY = np.dtype([("hash", "<u8"), ("key", "<u8"), ("id", "<i8"), ("at", "<i4"), ("times", "u1")])
 
@@ -227,8 +229,13 @@ def _candidate_batches(window: int, n_parts: int):
 
 
 def _survivors(n_parts: int):
-    """Repeated windows, packed by document."""
-    return lambda pdf: _frame(repeated(from_bytes(pdf["blob"])), n_parts, "key")
+    """Repeated windows, packed by document, each document's together in order of place: most of it compresses to nothing."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        e = repeated(from_bytes(pdf["blob"]))
+        return _frame(e[np.lexsort((e["at"], e["id"], e["key"]))], n_parts, "key")
+
+    return run
 
 
 def by_document(pdf: pd.DataFrame) -> np.ndarray:
@@ -291,7 +298,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     if window < 2 or window % 2:
         raise ValueError("window must be even")
     spark = docs.sparkSession
-    n = parts(spark)
+    n = max(parts(spark), input_bytes(docs) // PART_BYTES)
     narrow = small_batches(docs).select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     found = written(narrow.mapInArrow(_anchor_batches(window, n), PACKED).groupBy("part").applyInPandas(_repeated_anchors, HITS), "substring-anchors")
     hits = found.filter("copy_of IS NULL").groupBy(F.col("id").alias("tw_id")).agg(F.collect_list(F.struct("key", "times", "places")).alias("places"))
