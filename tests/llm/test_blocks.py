@@ -11,6 +11,52 @@ def test_blocks_of_a_page():
     assert got == [("Home", "html/body/nav/ul/li", 4), ("Two", "html/body/nav/ul/li", 0), ("One bold line & more", "html/body/p", 0), ("Next", "html/body/p", 0), ("T", "html/body/article/h1", 0), ("loose", "html/body/article", 0)]
 
 
+def test_labels_and_vectors_know_the_whole_path():
+    """However deep a block is; the header of an article is content, that of the page isn't; a self-closed svg ends where it does."""
+    label = lambda page: [B.distant_label(b) for b in B.blocks(page)]
+    assert label("<article>" + "<div>" * 5000 + "text") == [1] and label("<nav>" + "<div>" * 50 + "text") == [0] and label("<div>text") == [-1]
+    assert label("<header>site</header><article><header><h1>Title</h1></header><p>x</p><footer>by</footer></article>") == [0, 1, 1, 0]
+    assert [b.text for b in B.blocks('<p>a <svg class="i" /> b</p><p>c</p><svg><path/></svg>d')] == ["a b", "c", "d"]
+    deep = [B.path_vector(B.blocks(f"<{top}>" + "<div>" * 9 + "text")[0].within) for top in ("article", "nav")]
+    assert not np.allclose(*deep)
+    hidden = [B.path_vector(B.blocks(f"<{top}>" + "<div>" * 9 + "text")[0].within, True) for top in ("article", "nav")]
+    assert np.allclose(*hidden)
+
+
+def test_many_blocks_in_deep_nesting():
+    page = B.blocks("".join(f"<div><p>block {k}</p>" for k in range(20_000)))
+    assert len(page) == 20_000 and np.isfinite(B.features([page], {}, B.word_table())).all()
+
+
+def naive_probabilities(model, x):
+    """Both directions, a block and a gate at a time."""
+    s = lambda v: 1 / (1 + np.exp(-v))
+    z, n = (x - model.mean) / model.scale, B.HIDDEN
+    logits = np.full(len(x), float(model.p["ob"][0]))
+    for d, order in (("f", range(len(x))), ("r", range(len(x) - 1, -1, -1))):
+        h = c = np.zeros(n)
+        for t in order:
+            a = z[t] @ model.p[f"{d}x"] + h @ model.p[f"{d}h"] + model.p[f"{d}b"]
+            i, f, o, g = s(a[:n]), s(a[n : 2 * n]), s(a[2 * n : 3 * n]), np.tanh(a[3 * n :])
+            c = f * c + i * g
+            h = o * np.tanh(c)
+            logits[t] += h @ model.p[f"o{d}"]
+    return s(logits)
+
+
+def test_query_against_a_naive_forward_pass(spark, sf_dir):
+    """The texts that the query extracts, from probabilities of pages one by one."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    model = B.fit(pages)
+    got = {r.page_id: r for r in B.extract(pages, model).collect()}
+    for r in pages.collect():
+        page = B.blocks(r.html)
+        p = naive_probabilities(model, B.features([page], {}, B.word_table()).astype(np.float64))
+        assert B.probabilities(model, B.features([page], {}, B.word_table()), np.array([len(page)])) == pytest.approx(p, abs=1e-4)
+        if np.abs(p - B.THRESHOLD).min() > 1e-3:
+            assert got[r.page_id].text == "\n".join(b.text for b, q in zip(page, p) if q >= B.THRESHOLD) and got[r.page_id].n_blocks == len(page)
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<p <p>", '<a href="x>y', "</p></div>", "<div>" * 3000 + "deep", "a < b > c", "<!--", "<script>", "&#xFFFFFFFF; &bogus;", "\x00"])
 def test_odd_pages(page):
     B.blocks(page)
@@ -49,7 +95,7 @@ def test_extraction_on_pages_that_were_not_fitted_on(spark, sf_dir):
         for hide in (False, True):
             p = B.probabilities(model, B.features([page], cache, table, hide), np.array([len(page)]))
             for b, q in zip(page, p):
-                right += (q >= 0.5) == (B.distant_label(b.path) == 1)
+                right += (q >= 0.5) == (B.distant_label(b) == 1)
                 total += 1
     assert right / total > 0.97
     texts = {r.page_id: r.text for r in B.extract(held, model).collect()}

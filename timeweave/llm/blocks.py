@@ -18,21 +18,21 @@ from pyspark.sql import functions as F
 from timeweave.llm.common import small_batches, written
 from timeweave.llm.textbatch import WHITE, U, texts, words
 
-#: Pages that a fit reads at most, about, drawn by a hash of page_id; a page of more blocks isn't used to fit.
+#: Pages that a fit reads at most, about, drawn by a hash of page_id; blocks of a page that is used to fit.
 MAX_FIT_PAGES, MAX_FIT_BLOCKS = 500, 400
 #: Blocks of at least this probability are content.
 THRESHOLD = 0.5
 PATH, WORD, NUMERIC, HIDDEN = 32, 32, 8, 24
 WIDTH = PATH + WORD + NUMERIC
 BUCKETS = 4096
-#: Ancestors that a block's path vector sees, from the block outwards.
-DEPTH = 8
+#: What an element's path vector takes over from the one around it.
+FADE = 0.75
 EPOCHS, PAGES_A_STEP, RATE = 14, 16, 0.01
 #: Blocks, padding included, that go through the network at once.
 CELLS = 1 << 14
 
 MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<svg\b[^>]*/>|<(script|style|noscript|template|svg|title|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-z][a-z0-9:-]*)((?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|[\"'])*+)>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -45,18 +45,42 @@ CONTENT, BOILERPLATE = frozenset(("article", "main")), frozenset(("nav", "footer
 BOILERPLATE_CLASS = frozenset("ad ads advert advertisement banner breadcrumb cookie menu navbar newsletter promo share sidebar social sponsor".split())
 
 
+class Element:
+    """An open element within another one: name, class, and what they all say together, without a limit to their depth."""
+
+    __slots__ = ("name", "kind", "around", "label", "vectors")
+
+    def __init__(self, name: str, kind: str, around: Element | None) -> None:
+        self.name, self.kind, self.around = name, kind, around
+        inherited = -1 if around is None else around.label
+        if kind in BOILERPLATE_CLASS or name in BOILERPLATE and not (name == "header" and inherited == 1):  # the header of an article is its title
+            self.label = 0
+        else:
+            self.label = 1 if name in CONTENT else inherited
+        self.vectors: list[np.ndarray | None] = [None, None]
+
+
 class Block(NamedTuple):
-    """A stretch of text without a block element in it; path: its open elements outwards, each as (name, class)."""
+    """A stretch of text without a block element in it, and the innermost of its open elements."""
 
-    path: tuple[tuple[str, str], ...]
+    within: Element | None
     text: str
     linked: int
 
+    @property
+    def path(self) -> tuple[tuple[str, str], ...]:
+        """All open elements outwards, each as (name, class)."""
+        out, e = [], self.within
+        while e is not None:
+            out.append((e.name, e.kind))
+            e = e.around
+        return tuple(out)
+
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order. Comments, scripts, styles and the like have none; unclosed elements are closed as needed."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Element] = []
     opened: dict[str, int] = {}
     pieces: list[str] = []
     at = links = linked = 0
@@ -66,13 +90,13 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(tuple(stack[: -DEPTH - 1 : -1]), text, min(linked, len(text))))
+                out.append(Block(stack[-1] if stack else None, text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
     def close(name: str) -> None:
         while opened.get(name):
-            top = stack.pop()[0]
+            top = stack.pop().name
             opened[top] -= 1
             if top == name:
                 return
@@ -107,28 +131,23 @@ def blocks(page: str) -> list[Block]:
             close(name)
             continue
         if name in CLOSES_P:
-            if stack and stack[-1][0] == "p":
+            if stack and stack[-1].name == "p":
                 close("p")
-        elif name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
+        elif name in ("li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1].name == name:
             close(name)
         if m[4].endswith("/"):
             continue
         kind = CLASS.search(m[4]) if m[4] else None
-        stack.append((name, kind[1].lower() if kind else ""))
+        stack.append(Element(name, kind[1].lower() if kind else "", stack[-1] if stack else None))
         opened[name] = opened.get(name, 0) + 1
     add(page[at:])
     flush()
     return out
 
 
-def distant_label(path: tuple[tuple[str, str], ...]) -> int:
+def distant_label(block: Block) -> int:
     """1: within an element that says content, 0: within one that says otherwise (the innermost counts), -1: neither."""
-    for name, kind in path:
-        if name in BOILERPLATE or kind in BOILERPLATE_CLASS:
-            return 0
-        if name in CONTENT:
-            return 1
-    return -1
+    return -1 if block.within is None else block.within.label
 
 
 def _signs(key: str, n: int) -> np.ndarray:
@@ -136,18 +155,25 @@ def _signs(key: str, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8), count=n).astype(np.float32) * 2 - 1
 
 
-def path_vector(path: tuple[tuple[str, str], ...], hide: bool = False) -> np.ndarray:
-    """Signs hashed from the path's elements, with their distance from the block and without; hide: telling ones as plain div."""
-    out = np.zeros(PATH, np.float32)
-    for k, (name, kind) in enumerate(path):
-        if hide and (name in CONTENT or name in BOILERPLATE):
-            name = "div"
-        if hide and kind in BOILERPLATE_CLASS:
-            kind = ""
-        out += _signs(f"{name}@{k}", PATH) + 0.5 * _signs(name, PATH)
-        if kind:
-            out += 0.5 * _signs(f".{kind}", PATH)
-    return out / max(1.0, np.sqrt(len(path)))
+def path_vector(within: Element | None, hide: bool = False, cache: dict | None = None) -> np.ndarray:
+    """Signs hashed from an element's name and class, and FADE times those of what is around it, moved on by one place for each step
+    outwards; hide: telling elements as plain div. Each element's is kept, so that the whole path costs one step."""
+    cache = {} if cache is None else cache
+    chain = []
+    while within is not None and within.vectors[hide] is None:
+        chain.append(within)
+        within = within.around
+    out = np.zeros(PATH, np.float32) if within is None else within.vectors[hide]
+    for e in reversed(chain):
+        name = "div" if hide and (e.name in CONTENT or e.name in BOILERPLATE) else e.name
+        kind = "" if hide and e.kind in BOILERPLATE_CLASS else e.kind
+        own = cache.get((name, kind))
+        if own is None:
+            if len(cache) > 20_000:
+                cache.clear()
+            own = cache[name, kind] = _signs(name, PATH) + (0.5 * _signs(f".{kind}", PATH) if kind else 0)
+        out = e.vectors[hide] = (own + FADE * np.roll(out, 1)).astype(np.float32)
+    return out
 
 
 def word_table() -> np.ndarray:
@@ -176,13 +202,7 @@ def features(pages: list[list[Block]], cache: dict, table: np.ndarray, hide: boo
     if not flat:
         return out
     for k, b in enumerate(flat):
-        key = (b.path, hide)
-        vector = cache.get(key)
-        if vector is None:
-            if len(cache) > 20_000:
-                cache.clear()
-            vector = cache[key] = path_vector(b.path, hide)
-        out[k, :PATH] = vector
+        out[k, :PATH] = path_vector(b.within, hide, cache)
     out[:, PATH : PATH + WORD], n = text_features(pa.array([b.text for b in flat], pa.string()), table)
     size = np.array([len(b.text) for b in flat], np.float32)
     at = PATH + WORD
@@ -335,28 +355,31 @@ def _narrow(pages: DataFrame) -> DataFrame:
     return small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
 
 
-def _fit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict = {}
-    table = word_table()
-    for batch in batches:
-        for k in range(batch.num_rows):
-            page = blocks(batch.column(1)[k].as_py() or "")
-            if 0 < len(page) <= MAX_FIT_BLOCKS:
-                x = [features([page], cache, table, hide).astype(np.float16).tobytes() for hide in (False, True)]
-                y = np.array([distant_label(b.path) for b in page], np.int8).tobytes()
-                yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], *(pa.array([v], pa.binary()) for v in (*x, y))], ["page_id", "x", "hidden", "y"])
+def _fit_batches(max_blocks: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
+        table = word_table()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                page = blocks(batch.column(1)[k].as_py() or "")
+                if 0 < len(page) <= max_blocks:
+                    x = [features([page], cache, table, hide).astype(np.float16).tobytes() for hide in (False, True)]
+                    y = np.array([distant_label(b) for b in page], np.int8).tobytes()
+                    yield pa.RecordBatch.from_arrays([batch.column(0)[k : k + 1], *(pa.array([v], pa.binary()) for v in (*x, y))], ["page_id", "x", "hidden", "y"])
+
+    return run
 
 
-def fit(pages: DataFrame, max_pages: int = MAX_FIT_PAGES) -> Model | None:
+def fit(pages: DataFrame, max_pages: int = MAX_FIT_PAGES, max_blocks: int = MAX_FIT_BLOCKS) -> Model | None:
     """The model of a bounded sample of pages, drawn by a hash of page_id, whose own elements (article, main, nav, footer and so on)
-    label the blocks in them. In half of the steps those elements are hidden, so that the words and the context have to tell.
+    label the blocks in them; pages of more than max_blocks blocks are left out of the sample, and scored like any other. In half of the steps those elements are hidden, so that the words and the context have to tell.
 
     Pages without an id aren't drawn. None: the sample has no labels of both kinds.
     """
     n = pages.count()
     draw = F.pmod(F.xxhash64("page_id", F.lit(23)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     chosen = _narrow(pages).filter("page_id IS NOT NULL").filter(draw < max_pages / max(n, 1))
-    kept = written(chosen.mapInArrow(_fit_batches, "page_id long, x binary, hidden binary, y binary"), "block-sample")
+    kept = written(chosen.mapInArrow(_fit_batches(max_blocks), "page_id long, x binary, hidden binary, y binary"), "block-sample")
     made = kept.coalesce(1).mapInArrow(_trained, "model binary").first()
     if made is None:
         return None
