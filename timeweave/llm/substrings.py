@@ -245,42 +245,33 @@ def by_document(pdf: pd.DataFrame) -> np.ndarray:
     return e[_bounds(e["id"], e["key"], e["at"])]
 
 
-def _doubled(length: int, n_parts: int):
-    """Windows of twice the length whose halves both repeat, packed by hash."""
+STEP_ROWS = "part int, blob binary, doc_id long, key long, start_word long, end_word long"
+
+
+def _step(length: int, n_parts: int):
+    """Of a part's documents: windows of twice the length whose halves both repeat, packed by hash (part, blob); and the spans
+    (start, end) of overlapping or touching windows, which have no part."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         e = by_document(pdf)
-        doc = np.cumsum(_bounds(e["id"], e["key"])).astype(np.int64)
-        place = doc * (1 << 32) + e["at"]
+        at, new = e["at"].astype(np.int64), _bounds(e["id"], e["key"])
+        place = np.cumsum(new).astype(np.int64) * (1 << 32) + at
         second = np.searchsorted(place, place + length)
         ok = second < len(place)
         ok[ok] = place[second[ok]] == (place + length)[ok]
         a, b = e[ok], e[second[ok]]
-        return _frame(_entries(mixed(a["hash"] * U(STEP) + b["hash"]), a["key"], a["id"], a["at"], a["times"]), n_parts)
-
-    return run
-
-
-def _runs(length: int):
-    """Spans (start, end) of overlapping or touching windows of each document."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = by_document(pdf)
-        if not len(e):
-            return pd.DataFrame({"doc_id": [], "key": [], "start_word": [], "end_word": []})
-        at = e["at"].astype(np.int64)
-        new = _bounds(e["id"], e["key"])
+        doubled = _frame(_entries(mixed(a["hash"] * U(STEP) + b["hash"]), a["key"], a["id"], a["at"], a["times"]), n_parts)
         new[1:] |= at[1:] > at[:-1] + length
         first = np.flatnonzero(new)
         last = np.r_[first[1:], len(e)] - 1
-        return pd.DataFrame({"doc_id": e["id"][first], "key": e["key"][first].view(np.int64), "start_word": at[first], "end_word": at[last] + length})
+        spans = pd.DataFrame({"part": pd.array([None] * len(first), "Int32"), "blob": [None] * len(first), "doc_id": pd.array(e["id"][first], "Int64"), "key": pd.array(e["key"][first].view(np.int64), "Int64"), "start_word": pd.array(at[first], "Int64"), "end_word": pd.array(at[last] + length, "Int64")})
+        none = pd.array([None] * len(doubled), "Int64")
+        whole = pd.DataFrame({"part": pd.array(doubled["part"], "Int32"), "blob": doubled["blob"].to_numpy(object), "doc_id": none, "key": none, "start_word": none, "end_word": none})
+        return pd.concat([f for f in (spans, whole) if len(f)], ignore_index=True) if len(spans) or len(whole) else spans
 
     return run
 
 
-SPANS = "doc_id long, key long, start_word long, end_word long"
-
-
 def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, start_word, end_word (half-open, whitespace-separated words), longest: each stretch of a document that is covered
     by windows of `window` words that occur at least twice in the corpus, at any places; longest is the greatest length
@@ -306,10 +297,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     level = written(joined.mapInArrow(_candidate_batches(window, n), PACKED).groupBy("part").applyInPandas(_survivors(n), PACKED), "substring-level")
     length, spans = window, []
     while not level.isEmpty():
-        spans.append(written(level.groupBy("part").applyInPandas(_runs(length), SPANS).withColumn("length", F.lit(length).cast("long")), "substring-spans"))
-        following = level.groupBy("part").applyInPandas(_doubled(length, n), PACKED).groupBy("part").applyInPandas(_survivors(n), PACKED)
-        following = written(following, "substring-level")
+        step = written(level.groupBy("part").applyInPandas(_step(length, n), STEP_ROWS), "substring-step")
+        spans.append(written(step.filter("part IS NULL").select("doc_id", "key", "start_word", "end_word", F.lit(length).cast("long").alias("length")), "substring-spans"))
+        following = written(step.filter("part IS NOT NULL").select("part", "blob").groupBy("part").applyInPandas(_survivors(n), PACKED), "substring-level")
         discard(level)
+        discard(step)
         level, length = following, length * 2
     if not spans:
         return spark.createDataFrame([], "doc_id long, start_word long, end_word long, longest long")
