@@ -21,26 +21,32 @@ def sessions(events: DataFrame, by: str, ts: str, gap: str, late: str | None = N
     return grouped.select(by, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")
 
 
-def buffered(frames: DataFrame, by: str, value: str, size: int) -> DataFrame:
-    """by, range_no, n_frames, total: each `size` frames of a recording in the order they come, once the last of them has come.
+def buffered(frames: DataFrame, by: str, value: str, size: int, order: str = "event_id", last: str | None = None) -> DataFrame:
+    """by, range_no, n_frames, total: each `size` frames of a recording, by `order` within what comes at once, once the last of them has come.
 
-    frames: a stream. State holds what is not complete yet: fewer than `size` values a recording."""
+    frames: a stream. last: a boolean column that is true for a recording's final frame; with it, what is left then comes as a
+    shorter range and the recording's state is given up. State holds what is not complete yet: fewer than `size` values a recording."""
     kind = frames.schema[by].dataType.simpleString()
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seen, held = state.get if state.exists else (0, [])
         held = list(held)
+        came = pd.concat(list(batches)).sort_values("tw_order", kind="stable")
+        held += came["tw_value"].tolist()
+        ended = bool(came["tw_last"].any())
         out = []
-        for pdf in batches:
-            held += pdf.sort_values("tw_order")["tw_value"].tolist()
-        while len(held) >= size:
-            out.append((key[0], seen, size, float(sum(held[:size]))))
+        while len(held) >= size or ended and held:
+            out.append((key[0], seen, len(held[:size]), float(sum(held[:size]))))
             held, seen = held[size:], seen + 1
-        state.update((seen, held))
+        if ended:
+            state.remove()
+        else:
+            state.update((seen, held))
         if out:
             yield pd.DataFrame(out, columns=[by, "range_no", "n_frames", "total"])
 
-    rows = frames.select(by, F.col(value).cast("double").alias("tw_value"), F.col("event_id").alias("tw_order"))
+    end = F.coalesce(F.col(last), F.lit(False)) if last else F.lit(False)
+    rows = frames.select(by, F.col(value).cast("double").alias("tw_value"), F.col(order).alias("tw_order"), end.alias("tw_last"))
     return rows.groupBy(by).applyInPandasWithState(step, f"{by} {kind}, {OUT}", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
