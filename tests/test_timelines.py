@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from timeweave.functions.numbers import equal_parts, smoothing
 from timeweave.operators import intervals as iv
 from timeweave.operators import retime as rt
+from timeweave.plans import timelines
 
 INF = float("inf")
 
@@ -79,6 +80,27 @@ def test_combine_with_nothing(spark):
     assert rows(iv.combine(some, none), "beg", "fin") == rows(iv.combine(none, some), "beg", "fin") == [(1, 2)]
 
 
+def test_priorities_are_pointwise(spark):
+    """Four methods, some touching: at each point the first that covers it counts, and a piece is split by none that comes after it."""
+    rng = random.Random(5)
+    methods, want = [[] for _ in range(4)], {}
+    for rec in range(40):
+        for m in methods:
+            ends = sorted(rng.sample(range(30), 2 * rng.randint(0, 6)))
+            m += [(rec, float(a), float(b), rng.choice([0.0, 0.5, 2.0])) for a, b in zip(ends[::2], ends[1::2])]
+        point = [next(((k, a, x) for k, m in enumerate(methods) for r, a, b, x in m if r == rec and a <= t < b), None) for t in range(31)]
+        begun = [t for t in range(31) if point[t] and (not t or point[t] != point[t - 1])]
+        want |= {(rec, t): (next(u for u in range(t, 32) if u == 31 or point[u] != point[t]), point[t][2]) for t in begun}
+    got = iv.combine_by_priority([spark.createDataFrame(m, "rec int, beg double, fin double, multi double") for m in methods])
+    assert {(r.rec, r.beg): (r.fin, r.multi) for r in got.collect()} == want
+
+
+def test_priorities_take_one_sweep(spark, sf_dir):
+    """One scan and exchange of the events, one sort of them and one of the ends, whatever the number of methods."""
+    plan = timelines.combine_priority_fold(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("FileScan"), plan.count("Exchange hash"), plan.count("- Sort [")) == (1, 1, 2)
+
+
 def test_violations(spark):
     got = iv.violations(changes(spark, [(0, 2, 0), (1, 3, 0), (5, 4, 0), (-1, 0, 0), (6, INF, 0)]))
     assert rows(got, "beg") == [(-1,), (0,), (5,)]

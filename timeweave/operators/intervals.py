@@ -62,29 +62,33 @@ def violations(changes: DataFrame, by: str = "rec") -> DataFrame:
 
 
 def combine(primary: DataFrame, supplement: DataFrame, by: str = "rec") -> DataFrame:
-    """by, beg, fin, multi: all of primary, and of supplement what primary leaves uncovered. Each side must be disjoint in itself.
+    """by, beg, fin, multi: all of primary, and of supplement what primary leaves uncovered. Each side must be disjoint in itself."""
+    return combine_by_priority([primary, supplement], by)
 
-    A sweep over the ends of both: they are sorted once per recording, however many intervals overlap, and nothing is joined.
-    """
-    names = [by, "beg", "fin", "multi"]
 
-    def ends(df: DataFrame, p: int) -> DataFrame:
-        df = df.filter(F.col("beg") < F.col("fin"))
-        begin = F.struct(F.col("beg").alias("at"), F.lit(p).alias("dp"), F.lit(1 - p).alias("ds"), (F.lit(None).cast("double") if p else F.col("multi")).alias("m"))
-        end = F.struct(F.col("fin").alias("at"), F.lit(-p).alias("dp"), F.lit(p - 1).alias("ds"), F.lit(None).cast("double").alias("m"))
-        return df.select(by, F.inline(F.array(begin, end)))
+def combine_by_priority(methods: Sequence[DataFrame], by: str = "rec") -> DataFrame:
+    """The changes of several methods, the first having priority."""
+    ranked = [m.select(by, "beg", "fin", "multi", F.lit(k).alias("tw_rank")) for k, m in enumerate(methods)]
+    return by_rank(reduce(DataFrame.unionByName, ranked), len(ranked), by, "tw_rank")
 
-    both = ends(primary, 1).unionByName(ends(supplement, 0)).repartition(by)
-    steps = both.groupBy(by, "at").agg(F.sum("dp").alias("dp"), F.sum("ds").alias("ds"), F.max("m").alias("m"))
-    w = W.partitionBy(by).orderBy("at")
-    state = steps.select(by, F.col("at").alias("beg"), F.lead("at").over(w).alias("fin"), F.last("m", True).over(w).alias("multi"), F.sum("dp").over(w).alias("p"), F.sum("ds").over(w).alias("s"))
-    left = state.filter("p = 0 AND s > 0 AND fin IS NOT NULL").select(*names)
-    return primary.select(*names).unionByName(left)
 
+def by_rank(changes: DataFrame, ranks: int, by: str = "rec", rank: str = "rank") -> DataFrame:
+    """by, beg, fin, multi: of changes whose rank is 0 to ranks - 1, what none of a lower rank covers. Those of one rank must be
+    disjoint; empty ones are left out.
 
-def combine_by_priority(methods: Sequence[DataFrame], by: str = "rec") -> DataFrame:
-    """The changes of several methods, the first having priority."""
-    return reduce(lambda a, b: combine(a, b, by), methods)
+    One sweep over the ends of all: they are sorted once per recording, however many intervals overlap and however many ranks
+    there are, and nothing is joined. Where the change that counts becomes another, a piece ends.
+    """
+    begin = F.struct(F.col("beg").alias("tw_at"), F.lit(1).alias("tw_open"), F.col("beg").alias("tw_beg"), F.col("multi").cast("double").alias("tw_multi"))
+    end = F.struct(F.col("fin").alias("tw_at"), F.lit(0).alias("tw_open"), F.lit(None).cast("double").alias("tw_beg"), F.lit(None).cast("double").alias("tw_multi"))
+    ends = changes.filter(F.col("beg") < F.col("fin")).select(by, F.col(rank).alias("tw_rank"), F.inline(F.array(begin, end)))
+    w = W.partitionBy(by).orderBy("tw_at", "tw_open")
+    so_far = w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = [F.last(F.when(F.col("tw_rank") == k, F.struct("tw_open", "tw_beg", "tw_multi")), True).over(so_far).alias(f"tw_{k}") for k in range(ranks)]
+    counts = F.coalesce(*(F.when(F.col(f"tw_{k}.tw_open") == 1, F.struct(F.lit(k).alias("rank"), F.col(f"tw_{k}.tw_beg").alias("beg"), F.col(f"tw_{k}.tw_multi").alias("multi"))) for k in range(ranks)))
+    swept = ends.select(by, "tw_at", "tw_open", F.lead("tw_at").over(w).alias("tw_next"), *last).filter("tw_next IS NULL OR tw_at < tw_next")
+    steps = swept.select(by, "tw_at", "tw_open", counts.alias("tw_now")).withColumn("tw_before", F.lag("tw_now").over(w)).filter("NOT (tw_now <=> tw_before)")
+    return steps.select(by, F.col("tw_at").alias("beg"), F.lead("tw_at").over(w).alias("fin"), "tw_now").filter("tw_now IS NOT NULL").select(by, "beg", "fin", F.col("tw_now.multi").alias("multi"))
 
 
 def row_columns(columns: Sequence[str], by: str) -> list[Column]:
