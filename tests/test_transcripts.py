@@ -39,6 +39,27 @@ def test_sentences_by_punctuation(spark):
     assert [r.sent_id for r in tk.sentences(df).orderBy("idx").collect()] == [0, 0, 1, 1, 2]
 
 
+def test_sentences_are_those_of_the_join_in_one_sort(spark):
+    """Ends at the end of a token, inside it, none, several, texts that are empty or null: as by offsets and ends; one exchange, one sort."""
+    texts = ["a. b", "c", None, "", "d? ", "e!\n.f", "g...", ". ", "h", "i.j", "?"] * 3
+    df = tokens(spark, [(t, float(k), k + 0.5, None) for k, t in enumerate(texts)])
+    placed = tk.offsets(df)
+    joined = tk.split_by_silence(tk.assign_sentences(placed, tk.sentence_ends(placed)).withColumnRenamed("sent_id", "by_end"), within="by_end")
+    got = tk.sentences(df)
+    assert [(r.idx, r.start_pos, r.sent_id) for r in got.orderBy("idx").collect()] == [(r.idx, r.start_pos, r.sent_id) for r in joined.orderBy("idx").collect()]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange hash"), plan.count("- Sort [")) == (1, 1)
+
+
+def test_salient_sentences_are_sentence_scores(spark):
+    words = "the a cat sat mat unknown dog".split()
+    said = spark.createDataFrame([(r, k, k // 2, " ".join(words[(r * 5 + k * j) % 7] for j in range(1, 6)) if (r + k) % 4 else None) for r in range(6) for k in range(9)] + [(9, 0, 0, "unknown"), (10, 0, 0, "the the")], "rec int, idx int, sent_id int, text string")
+    model = spark.createDataFrame([("the", 8), ("a", 5), ("cat", 2), ("sat", 3), ("mat", 1), ("dog", 2)], "term string, df long")
+    want = sa.sentence_scores(said, sa.tfidf(sa.term_frequencies(said, "rec"), model, F.lit(8), "rec"), "rec")
+    got = {(r.rec, r.sent_id): r.score for r in sa.salient_sentences(said, model, F.lit(8), "rec").collect()}
+    assert got == pytest.approx({(r.rec, r.sent_id): r.score for r in want.collect()}) and len(got) == 32
+
+
 @pytest.mark.parametrize("labels, want", [([1, 0, 1], [(0, 1), (2, 4), (5, INF)]), ([1, 1, 1], []), ([0, 1, 1], [(0, 2.5), (5, INF)]), ([0, 0, 0], [(0, INF)])])
 def test_changes_of_tokens(spark, labels, want):
     times = [(1, 2), (2.5, 3), (4, 5)]

@@ -68,6 +68,22 @@ def sentence_scores(tokens: DataFrame, scores: DataFrame, by: str, remove_stop_w
     return total.select(by, "sent_id", F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(F.lit(0.0)).alias("score"))
 
 
+def salient_sentences(tokens: DataFrame, model: DataFrame, n_docs: Column, by: str) -> DataFrame:
+    """What sentence_scores makes of the tf-idf of the recordings' own terms: by, sent_id, score. model: term, df, and what n_docs needs.
+
+    Every term said is a row that goes to its term for df, and back to its recording, where one sort by term and sentence gives tf
+    and the length of the recording's vector; nothing is counted before, and nothing joined to the sentences."""
+    said = tokens.select(by, "sent_id", F.explode(terms(F.col("text"))).alias("term")).join(model.withColumn("tw_idf", F.log(n_docs / F.col("df"))), "term").select(by, "sent_id", "term", "tw_idf")
+    term = W.partitionBy(by, "term").orderBy("sent_id")
+    w = F.count(F.lit(1)).over(term.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) * F.col("tw_idf")
+    weighed = said.repartition(by).select(by, "sent_id", w.alias("s"), F.row_number().over(term).alias("tw_k"))
+    found = weighed.select(by, "sent_id", "s", F.when(F.col("tw_k") == 1, F.col("s") * F.col("s")).otherwise(0.0).alias("q"), F.lit(0).alias("n"))
+    empty = tokens.select(by, "sent_id", F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.size(terms(F.col("text"))).alias("n"))
+    total = found.unionByName(empty).groupBy(by, "sent_id").agg(F.sum("s").alias("s"), F.sum("q").alias("q"), F.sum("n").alias("n"))
+    norm = F.sqrt(F.sum("q").over(W.partitionBy(by)))
+    return total.withColumn("tw_norm", norm).select(by, "sent_id", F.when((F.col("n") > 0) & (F.col("tw_norm") > 0), F.col("s") / F.col("tw_norm") / F.col("n")).otherwise(F.lit(0.0)).alias("score"))
+
+
 def labels(scores: DataFrame, ratio: float, by: str, digits: int = 9) -> DataFrame:
     """scores with label: 1 if the score is at least `ratio` times the mean of its recording's sentences."""
     mean = F.avg("score").over(W.partitionBy(by))
