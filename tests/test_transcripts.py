@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from timeweave.operators import salience as sa
 from timeweave.operators import signal as sg
 from timeweave.operators import tokens as tk
-from timeweave.plans import methods
+from timeweave.plans import methods, transcripts
 from timeweave.sources import config, recordings, subtitles, urls
 
 INF = float("inf")
@@ -74,6 +74,20 @@ def test_words_of_characters(spark):
     assert got == [(" ab", 0, 3), (" c", 4, 6), (" ", 7, 8), ("d", 9, 10)]
 
 
+def test_words_of_texts(spark):
+    """Without an exchange, as words_of_characters of the characters: spaces in a row, at both ends, texts of one character and beyond ASCII."""
+    texts = [" ab  c   d ", "a", " ", "  ", "   ", "", None, "\u00e9t\u00e9 \U0001f600\u00a0x\n y", "no", "a b ", "x  ", " \u4e2d"]
+    rows = [(r, i, ch, i * 60 / 1000) for r, t in enumerate(texts) for i, ch in enumerate(t or "")]
+    want = tk.words_of_characters(spark.createDataFrame(rows, "rec int, idx int, ch string, start_time double"))
+    got = tk.words_of_texts(spark.createDataFrame(list(enumerate(texts)), "rec int, text string").repartition(1), lambda idx: idx * 60 / 1000)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_chars_to_words_sorts_nothing(spark, sf_dir):
+    plan = transcripts.chars_to_words(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and "Sort" not in plan
+
+
 def test_accuracy(spark):
     counts = lambda words: spark.createDataFrame([(1, w, words.count(w)) for w in sorted(set(words))], "rec int, word string, n long")
     got = sa.accuracy(counts("a a b".split()), counts("a b b c".split()), "rec").first().accuracy

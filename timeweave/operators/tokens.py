@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from timeweave.functions.partitions import spread
 from timeweave.operators.intervals import row_columns, run_number, with_runs
 
 #: Seconds without speech after which a sentence ends.
@@ -117,6 +122,51 @@ def words_of_characters(characters: DataFrame, by: str = "rec") -> DataFrame:
     return made.filter("start_time IS NOT NULL")
 
 
+def _split(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """Words of texts as bytes: row, number in it, text, first character, the separator's (or the last) character, whether one ended it."""
+    texts = texts.cast(pa.string())
+    if not len(texts) or texts.buffers()[2] is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), pa.array([], pa.string()), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+    ends = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    at, filled = np.arange(len(data)), np.flatnonzero(np.diff(ends))
+    opens = np.zeros(len(data) + 1, bool)
+    opens[ends[:-1][filled]] = True
+    space = data == 32
+    run = np.maximum.accumulate(np.where(space & (opens[:-1] | ~np.concatenate([[False], space[:-1]])), at, 0))
+    ends_word = space & ((at - run + opens[run]) % 2 == 0)  # a run at the start of a text finds no open word
+    char = np.cumsum((data & 0xC0) != 0x80) - 1
+    begin = np.flatnonzero(opens[:-1] | np.concatenate([[False], ends_word[:-1]]))
+    row = np.searchsorted(ends[:-1][filled], begin, "right") - 1
+    stop = np.minimum(np.append(np.flatnonzero(ends_word), len(data))[np.searchsorted(np.flatnonzero(ends_word), begin)], ends[1:][filled][row])
+    closed = stop < ends[1:][filled][row]
+    start = char[ends[:-1][filled]][row]
+    offsets = np.append(0, np.cumsum(stop - begin)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[~ends_word].tobytes()))
+    number = np.arange(len(row)) - np.searchsorted(row, row, "left")
+    return filled[row], number, words, char[begin] - start, char[np.where(closed, stop, stop - 1)] - start, closed
+
+
+def words_of_texts(texts: DataFrame, at: Callable[[Column], Column], by: str = "rec", text: str = "text") -> DataFrame:
+    """What words_of_characters makes of recordings whose characters lie in one text each; at: a character's time, by its idx.
+
+    Each text is split where it lies: there is no row for a character, no exchange and no sort."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                row, number, words, first, end, closed = _split(part.column(1))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(number.astype(np.int32)), words, pa.array(first), pa.array(end), pa.array(closed)], [by, "word_id", "text", "tw_first", "tw_end", "tw_closed"])
+
+    kind = texts.schema[by].dataType.simpleString()
+    split = spread(texts.select(by, F.col(text).alias("text"))).mapInArrow(run, f"`{by}` {kind}, word_id int, text string, tw_first long, tw_end long, tw_closed boolean")
+    end = F.col("tw_end")
+    last = at(end) + F.when(end > 0, at(end) - at(end - 1)).otherwise(0.0)
+    return split.select(by, "word_id", "text", at(F.col("tw_first")).alias("start_time"), F.when(F.col("tw_closed"), at(end)).otherwise(last).alias("end_time"))
+
+
 def changes_of_tokens(tokens: DataFrame, multi: float = 0.0, by: str = "rec") -> DataFrame:
     """by, beg, fin, multi: what lies around tokens whose label is 0 or false.
 
