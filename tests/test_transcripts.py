@@ -1,11 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from timeweave.operators import salience as sa
 from timeweave.operators import signal as sg
+from timeweave.operators import terms
 from timeweave.operators import tokens as tk
 from timeweave.plans import methods, transcripts
 from timeweave.sources import config, recordings, subtitles, urls
@@ -60,6 +62,45 @@ def test_salient_sentences_are_sentence_scores(spark):
     assert got == pytest.approx({(r.rec, r.sent_id): r.score for r in want.collect()}) and len(got) == 32
 
 
+ODD = ["The cat\u00a0SAT", "", None, "\u00c9t\u00e9 caf\u00e9-CAFE", "\u4e2d\u6587 the,the;THE", "!?", "a\u00a0\u00a0b", "x" * 300, "1 2 the 3", "end", "\u0130stanbul \u20ac5 \u00c2\u00a3", " \u00a0", "\U0001f600 \U0001f600cat"]
+
+
+def test_corpus_tfidf_is_tfidf_of_the_joins(spark):
+    """Rows of one id, and those without one, are one document, in pieces of any size; no row for a term of a document is made by Spark, exchanged or sorted."""
+    rows = [(k % 29 if k % 13 else None, f"{ODD[k % 13]} w{k % 7} w{k % 50}" if k % 3 else ODD[k % 13]) for k in range(400)] + [(k, "the the") for k in range(1000, 1050)]
+    df = spark.createDataFrame(rows, "rec long, text string")
+    model = df.select(F.explode(F.array_distinct(sa.terms(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    assert sorted(map(tuple, sa.document_frequencies(df).collect())) == sorted(map(tuple, model.collect()))
+    want = {(r.rec, r.term): r.score for r in sa.tfidf(sa.term_frequencies(df, "rec"), model, F.lit(450), "rec").collect()}
+    got = sa.corpus_tfidf(df, "rec")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    made = got.collect()
+    assert {(r.rec, r.term): r.score for r in made} == pytest.approx(want, abs=1e-12) and len(made) == len(want) > 400
+    assert plan.count("Exchange hash") == 1 and "Generate" not in plan and "regexp" not in plan and "SortMergeJoin" not in plan
+
+
+def test_terms_in_pieces(monkeypatch):
+    """Batches, chunks and vocabularies that are cut anywhere give the same scores."""
+    ids, texts = [None, None, 1, 1, 1, 2, 3, 3], ["a b", "b\u00a0c", "a a d", None, "d", "...", "e", "e f a"]
+    whole = pa.record_batch([pa.array([0] * 8, pa.int32()), pa.array(texts)], ["tw_split", "text"])
+    rows = lambda k: [whole.slice(i, k) for i in range(0, 8, k)]
+    score = lambda k: [tuple(r.values()) for b in terms.scores(iter(known + docs(k))) for r in b.to_pylist()]
+    found = pa.Table.from_batches(terms.vocabulary(iter(rows(8)))).to_pylist()
+    known = [pa.record_batch([pa.array([0], pa.int32()), pa.array([math.log(8 / r["n"])]), pa.array([None], pa.int64()), pa.array([r["term"]])], list("sixt")) for r in found]
+    docs = lambda k: [pa.record_batch([b.column(0), pa.nulls(len(b), pa.float64()), pa.array(ids, pa.int64())[i * k : i * k + k], b.column(1)], list("sixt")) for i, b in enumerate(rows(k))]
+    want = score(8)
+    assert sorted((str(i), t) for i, t, _ in want) == [("1", "a"), ("1", "d"), ("3", "a"), ("3", "e"), ("3", "f"), ("None", "a"), ("None", "b"), ("None", "c")]
+    for name, least in (("CHUNK", 1), ("ROWS", 1), ("HELD", 1)):
+        monkeypatch.setattr(terms, name, least)
+        counts = {}
+        for b in terms.vocabulary(iter(rows(3))):
+            for r in b.to_pylist():
+                counts[r["term"]] = counts.get(r["term"], 0) + r["n"]
+        assert counts == {r["term"]: r["n"] for r in found} == {"a": 3, "b": 2, "c": 1, "d": 2, "e": 2, "f": 1}
+        for k in (1, 3, 8):
+            assert sorted(map(str, score(k))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("labels, want", [([1, 0, 1], [(0, 1), (2, 4), (5, INF)]), ([1, 1, 1], []), ([0, 1, 1], [(0, 2.5), (5, INF)]), ([0, 0, 0], [(0, INF)])])
 def test_changes_of_tokens(spark, labels, want):
     times = [(1, 2), (2.5, 3), (4, 5)]

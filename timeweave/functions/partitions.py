@@ -13,3 +13,14 @@ def spread(df: DataFrame) -> DataFrame:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+#: Bytes of input, as it is stored, of a piece that a task works on with all that it knows of it.
+PIECE = 1 << 24
+
+
+def pieces(df: DataFrame) -> int:
+    """How many pieces to work on df in: as many as there are cores, and more as its files grow, so that none does."""
+    stored = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    known = stored // PIECE + 1 if stored < 1 << 60 else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(known, df.sparkSession.sparkContext.defaultParallelism)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from timeweave.functions.partitions import spread
+from timeweave.functions.partitions import pieces, spread
+from timeweave.operators import terms as found
 
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{00A0}]+"
 #: Words said without meaning, besides a language's stop words.
@@ -44,9 +45,10 @@ def term_frequencies(df: DataFrame, doc: str, text: str = "text") -> DataFrame:
 
 
 def document_frequencies(df: DataFrame, text: str = "text") -> DataFrame:
-    """term, df: rows that have the term. Each row's terms are made distinct where it lies, so that one exchange of (term, 1),
-    summed before it, is enough."""
-    return spread(df.select(text)).select(F.explode(F.array_distinct(terms(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    """term, df: rows that have the term. Terms are counted where they lie, so that one exchange of (term, rows), summed before it,
+    is enough."""
+    texts = spread(df.select(F.col(text).cast("string").alias("text"))).select(F.lit(0).alias("tw_split"), F.lower("text").alias("text"))
+    return texts.mapInArrow(found.vocabulary, "tw_split int, term string, n long").groupBy("term").agg(F.sum("n").alias("df"))
 
 
 def tfidf(tf: DataFrame, model: DataFrame, n_docs: Column, doc: str) -> DataFrame:
@@ -56,6 +58,22 @@ def tfidf(tf: DataFrame, model: DataFrame, n_docs: Column, doc: str) -> DataFram
     return weighed.select(doc, "term", F.when(norm > 0, F.col("w") / norm).otherwise(F.lit(0.0)).alias("score"))
 
 
+def corpus_tfidf(df: DataFrame, doc: str, text: str = "text") -> DataFrame:
+    """What tfidf makes of the corpus's own term_frequencies and document_frequencies, and of the number of its rows: doc, term, score.
+
+    Documents lie in splits by a hash of doc. What is exchanged by term is one row for each term of a split, not of a document; it
+    comes back with its idf to the split, whose documents then are counted and scored where they lie, sorted by doc."""
+    n = pieces(df)
+    split = F.pmod(F.hash(doc), F.lit(n)).alias("tw_split")
+    placed = df.filter(F.col(text).isNotNull()).select(split, F.lit(None).cast("double").alias("tw_idf"), F.col(doc).alias("id"), F.col(text).cast("string").alias("text"))
+    has = placed.select("tw_split", "text").repartitionById(n, F.col("tw_split")).select("tw_split", F.lower("text").alias("text")).mapInArrow(found.vocabulary, "tw_split int, term string, n long")
+    idf = F.log(F.col("n_docs") / F.sum("n").over(W.partitionBy("term")))
+    model = has.crossJoin(F.broadcast(df.agg(F.count("*").alias("n_docs")))).select("tw_split", idf.alias("tw_idf"), F.lit(None).cast(df.schema[doc].dataType).alias("id"), F.col("term").alias("text"))
+    sorted_ = placed.unionByName(model).repartitionById(n, F.col("tw_split")).sortWithinPartitions("tw_split", F.col("tw_idf").isNull(), "id")
+    lowered = sorted_.select("tw_split", "tw_idf", "id", F.when(F.col("tw_idf").isNull(), F.lower("text")).otherwise(F.col("text")).alias("text"))
+    return lowered.mapInArrow(found.scores, f"id {df.schema[doc].dataType.simpleString()}, term string, score double").withColumnRenamed("id", doc)
+
+
 def sentence_scores(tokens: DataFrame, scores: DataFrame, by: str, remove_stop_words: bool = False) -> DataFrame:
     """by, sent_id, score: mean score of a sentence's terms, each as often as it occurs; unknown ones count 0, as does a sentence
     without terms. tokens: by, sent_id, text; scores: by, term, score of the recordings."""
